@@ -1 +1 @@
-
+"""Structured Streaming: deliveries, leases and incremental runs."""
