@@ -1,11 +1,11 @@
 import random
-
-import regex
+import re
 
 from tests.conftest import rows
 from weftgraph.llm import leakage
 
-WORD = regex.compile(r"\p{Han}|[^\W_\p{Han}]+")
+HAN = "\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0002ffff"
+WORD = re.compile(rf"[{HAN}]|[^\W_{HAN}]+")
 
 
 def brute(docs, items):

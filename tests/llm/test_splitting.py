@@ -41,12 +41,12 @@ def test_lines_are_counted_on(spark):
     text = "".join(f"row {i}\n" for i in range(600))
     data = [("a", text, 10, 609), ("a", text, 10, 609), ("b", text, 609, 10), ("c", text, 0, 5), ("d", text, None, None), ("e", None, 1, 1), ("f", "", 1, 1), ("g", "one\ntwo", 3, None)]
     df = spark.createDataFrame(data, "chunk_id string, text string, start_line int, end_line int").selectExpr("*", "1 as piece", "2 as line", "3 as key")
-    got = splitting.split_texts(df, "chunk_id", "text", "start_line", "end_line").orderBy("key", "piece").collect()
-    assert {r.key for r in got} == {"a", "b", "c", "d", "g"}
+    got = splitting.split_texts(df, "chunk_id", "text", "start_line", "end_line").orderBy("chunk_id", "piece").collect()
+    assert {r.chunk_id for r in got} == {"a", "b", "c", "d", "g"}
     for r in got:
-        if r.key in "ab":
+        if r.chunk_id in "ab":
             assert r.text == text[r.start_char : r.end_char] and r.start_line == 10 + text[: r.start_char].count("\n") and r.end_line == 10 + text[: r.end_char - 1].count("\n")
-        if r.key in "cd":
+        if r.chunk_id in "cd":
             assert r.start_line is None and r.end_line is None
-    assert [(r.start_line, r.end_line) for r in got if r.key == "g"] == [(3, 4)]
+    assert [(r.start_line, r.end_line) for r in got if r.chunk_id == "g"] == [(3, 4)]
     assert splitting.split_texts(df.limit(0), "chunk_id", "text", "start_line", "end_line").count() == 0
