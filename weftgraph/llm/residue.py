@@ -289,9 +289,16 @@ def features_of_segments(texts: list[str]) -> Features:
 
 
 def sample(documents: DataFrame, doc_id: str, text: str, host: str, n: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """At most `n` (host, text) rows, those with the smallest hash of the id."""
-    rows = documents.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("h"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id), F.lit("sample")).alias("o"))
-    return [(r.h, r.t) for r in rows.where("t is not null and t <> ''").orderBy("o", "t").limit(n).collect()]
+    """At most `n` (host, text) rows, those with the smallest hash of the id.
+
+    Tasks send only rows whose hash lies in the share of all hashes that holds about 2 `n` rows, so what reaches the
+    driver does not grow with the number of tasks.
+    """
+    hashed = F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.lit("sample")), 1)
+    share = min(1.0, 2 * n / max(1, documents.count()))
+    rows = documents.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("h"), F.col(text).alias("t"), hashed.alias("o")).where("t is not null and t <> ''")
+    near = rows if share == 1 else rows.where(F.col("o") < int(share * (1 << 63)))
+    return [(r.h, r.t) for r in near.orderBy("o", "t").limit(n).collect()]
 
 
 def is_case(model: Model, text: str, score: float) -> bool:
