@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.intervals import covered_and_gaps
+from weftgraph.sources.tables import materialize
 
 
 def split_of(key: Column, parts: int = 5) -> Column:
@@ -75,8 +76,8 @@ def shingle_pairs(rows: DataFrame, key: str, text: str, least: float = 0.85, wid
     Exact: hashed shingles are ordered from rare to frequent, and two sets that alike share one of their first
     (1 - least) * n + 1. Returns id_a, id_b, similarity of representatives; `shingle_classes` has the members.
     """
-    reps = shingle_classes(rows, key, text, width)
-    sets = reps.groupBy("class_id").agg(F.first("shingles").alias("g"))
+    # the row whose id names the class stands for it
+    sets = materialize(shingle_classes(rows, key, text, width).where("id = class_id").select("class_id", F.col("shingles").alias("g")))
     counts = sets.select(F.explode("g").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     ordered = sets.select("class_id", F.size("g").alias("size"), F.explode("g").alias("s")).join(counts, "s").where("n > 1")
     w = Window.partitionBy("class_id").orderBy("n", "s")

@@ -82,12 +82,22 @@ def similar_names(names: DataFrame, most: int = LEVENSHTEIN) -> DataFrame:
     numbers = F.sequence(F.lit(0), F.lit(k - 1))
     own = base.select("name", "n", F.explode(F.transform(numbers, lambda i: F.struct(i.alias("seg"), F.substring(F.col("name"), cut(F.col("n"), i) + 1, cut(F.col("n"), i + 1) - cut(F.col("n"), i)).alias("text")))).alias("s")).select("name", F.col("n").alias("len"), "s.seg", "s.text")
     lengths = F.sequence(F.greatest(F.col("n") - most, F.lit(1)), F.col("n"))
-    shifts = F.sequence(F.lit(-most), F.lit(most))
-    place = lambda l, i, d: F.struct(l.cast("int").alias("len"), i.alias("seg"), F.substring(F.col("name"), cut(l, i) + 1 + d, cut(l, i + 1) - cut(l, i)).alias("text"), (cut(l, i) + d).alias("at"))
-    probes = base.select("name", "n", F.explode(F.flatten(F.transform(lengths, lambda l: F.flatten(F.transform(numbers, lambda i: F.transform(shifts, lambda d: place(l, i, d)))))))).select("name", F.col("col.len").alias("len"), F.col("col.seg").alias("seg"), F.col("col.text").alias("text"), F.col("col.at").alias("at"))
-    probes = probes.where("at >= 0").drop("at").distinct()
-    met = own.withColumnRenamed("name", "x").join(probes.withColumnRenamed("name", "y"), ["len", "seg", "text"]).where("x <> y").select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
-    return met.withColumn("distance", edit_distance(F.col("name_a"), F.col("name_b"), most)).where(F.col("distance") <= most)
+
+    def moved(l: Column, i: Column) -> Column:
+        """Places where segment i of a name of length l may stand in this name, given that the first i segments hold at most i edits and the later ones the rest."""
+        more = F.col("n") - l
+        low, high = F.greatest(-i, more - (most - i)), F.least(i, more + (most - i))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    def place(l: Column, i: Column, d: Column) -> Column:
+        return F.struct(l.alias("len"), i.alias("seg"), F.substring(F.col("name"), cut(l, i) + 1 + d, cut(l, i + 1) - cut(l, i)).alias("text"), (cut(l, i) + d).alias("at"))
+
+    every = F.flatten(F.transform(lengths, lambda l: F.flatten(F.transform(numbers, lambda i: F.transform(moved(l, i), lambda d: place(l, i, d))))))
+    probes = base.select("name", F.explode(every).alias("p")).select("name", "p.len", "p.seg", "p.text", "p.at").where("at >= 0").drop("at").distinct()
+    met = own.withColumnRenamed("name", "x").join(probes.withColumnRenamed("name", "y"), ["len", "seg", "text"])
+    # characters differ no more than bytes: far names are dropped where they meet
+    near = met.where((F.col("x") != F.col("y")) & (F.levenshtein("x", "y", most) >= 0)).select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
+    return near.withColumn("distance", edit_distance(F.col("name_a"), F.col("name_b"), most)).where(F.col("distance") <= most)
 
 
 def conflicts(nodes: DataFrame, most: int = LEVENSHTEIN, least: float = SIMILARITY) -> DataFrame:
