@@ -32,4 +32,4 @@ def test_hot_split_join_keeps_every_row(spark):
     left = spark.createDataFrame([(None, 0), *[("h", i) for i in range(50)], ("c", 1), ("c", 1)], "k string, v int")
     right = spark.createDataFrame([("h", "H"), ("d", "D")], "k string, w string")
     for hot in (5, 500):
-        assert sorted(rows(hot_split_join(left, right, ["k"], hot)), key=str) == sorted([(None, 0, None), *[("h", i, "H") for i in range(50)], ("c", 1, None), ("c", 1, None)], key=str)
+        assert sorted(map(tuple, hot_split_join(left, right, ["k"], hot).collect()), key=str) == sorted([(None, 0, None), *[("h", i, "H") for i in range(50)], ("c", 1, None), ("c", 1, None)], key=str)

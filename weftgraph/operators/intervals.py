@@ -62,8 +62,11 @@ def covered_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -
     top = F.element_at("xs", -1)["e"]
     carried = coarse.withColumn("carry", F.max(top).over(down.rowsBetween(Window.unboundedPreceding, -1)))
     fresh = carried.withColumn("new", F.filter("xs", lambda x: F.col("carry").isNull() | (x["s"] > F.col("carry") + 1)))
+    # where the stretch that is open at the block's start ends: intervals of the block that only continue it may prolong it
+    held = F.filter("xs", lambda x: x["s"] <= F.col("carry") + 1)
+    fresh = fresh.withColumn("reach", F.greatest(F.col("carry"), F.try_element_at(held, F.lit(-1))["e"]))
     closed = (
-        fresh.withColumn("next", F.last(F.when(F.size("new") > 0, F.col("carry")), ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)))
+        fresh.withColumn("next", F.last(F.when(F.size("new") > 0, F.col("reach")), ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("most", F.max(top).over(up.rowsBetween(Window.unboundedPreceding, 0)))
         .where(F.size("new") > 0)
     )
@@ -77,7 +80,7 @@ def covered_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -
         F.transform(
             "new",
             lambda x, i: F.struct(
-                F.lit("gap").alias("kind"), (F.when(i == 0, F.col("carry")).otherwise(F.try_element_at("new", i)["e"]) + 1).alias("start"), (x["s"] - 1).alias("end")
+                F.lit("gap").alias("kind"), (F.when(i == 0, F.col("reach")).otherwise(F.try_element_at("new", i)["e"]) + 1).alias("start"), (x["s"] - 1).alias("end")
             ),
         ),
         lambda g: g["start"].isNotNull(),
