@@ -101,13 +101,18 @@ def similar_names(names: DataFrame, most: int = LEVENSHTEIN) -> DataFrame:
 
 
 def conflicts(nodes: DataFrame, most: int = LEVENSHTEIN, least: float = SIMILARITY) -> DataFrame:
-    """id_a < id_b of nodes whose names are close in both measures, with distance and similarity; equal names are close as well."""
+    """id_a < id_b of nodes whose names are close in both measures, with distance and similarity.
+
+    Nodes of equal names (whatever their case) are one class, named by its least id: pairs of different names are given
+    between these, and each other member is linked to its own with distance 0. So no class is expanded into all pairs.
+    """
     named = nodes.select("id", F.lower("name").alias("name")).where("name <> ''").distinct()
+    reps = named.groupBy("name").agg(F.min("id").alias("rep"))
     close = similar_names(named, most).withColumn("similarity", F.round(jaro_winkler_column("name_a", "name_b"), 9)).where(F.col("similarity") > least)
-    a, b = (named.select(F.col("id").alias(f"id_{k}"), F.col("name").alias(f"name_{k}")) for k in "ab")
-    near = close.join(a, "name_a").join(b, "name_b").select("id_a", "id_b", "distance", "similarity")
-    same = a.join(b, F.col("name_a") == F.col("name_b")).where("id_a < id_b").select("id_a", "id_b", F.lit(0).alias("distance"), F.lit(1.0).alias("similarity"))
-    return near.unionByName(same).where("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "distance", "similarity").distinct()
+    a, b = (reps.select(F.col("rep").alias(f"id_{k}"), F.col("name").alias(f"name_{k}")) for k in "ab")
+    near = close.join(a, "name_a").join(b, "name_b").where("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "distance", "similarity")
+    same = named.join(reps, "name").where("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("distance"), F.lit(1.0).alias("similarity"))
+    return near.unionByName(same).distinct()
 
 
 def resolve_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:

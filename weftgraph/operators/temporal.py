@@ -104,12 +104,14 @@ def shorten(text: Column, lines: int = 80) -> Column:
 
 
 def change_ratio(log: DataFrame, docs_total: int) -> DataFrame:
-    """`log` (seq, docs_changed) with the running share of changed documents, never above 1."""
+    """`log` (seq, docs_changed) with the running share of changed documents, never above 1. One row per run: the window is as long as the log."""
     w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return log.withColumn("ratio", F.least(F.lit(1.0), F.sum("docs_changed").over(w) / F.lit(max(1, docs_total))))
 
 
 def keep_last(history: DataFrame, order: str, most: int = 50, group: str | None = None) -> DataFrame:
-    """The last entries of a history."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(F.col(order).desc())
+    """The last entries of a history, of each group if one is named."""
+    if group is None:
+        return history.orderBy(F.col(order).desc()).limit(most)
+    w = Window.partitionBy(group).orderBy(F.col(order).desc())
     return history.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")

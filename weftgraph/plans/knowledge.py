@@ -298,7 +298,7 @@ def _(g):
     return resolve.similar_names(g.nodes.select("name"))
 
 
-@query("e3_conflicts")
+@query("e3_conflicts")  # the similarity has no equal in SQL: tested against a model
 def _(g):
     return resolve.conflicts(g.nodes)
 

@@ -145,7 +145,7 @@ def _(g):
     return g.nodes.agg(F.count(F.lit(1)).alias("n_nodes"), F.count_distinct("domain").alias("n_domains"))
 
 
-@query("s29_history_entries", "SELECT seq, coalesce(json_array_length(try_cast(diff_json AS JSON), '$.nodes'), 0) AS n_entries FROM c")
+@query("s29_history_entries", "SELECT seq, CAST(coalesce(json_array_length(try_cast(diff_json AS JSON), '$.nodes'), 0) AS BIGINT) AS n_entries FROM c")
 def _(g):
     parsed = F.from_json("diff_json", "nodes array<struct<id:string,change:string>>")
     whole = F.try_parse_json("diff_json").isNotNull()
@@ -270,7 +270,7 @@ def _(g):
     return g.nodes.groupBy("domain").agg((F.count(F.lit(1)) > 0).alias("covered"), F.count_if(F.col("label").isin(*schemas.CONTENT_LABELS)).alias("n_content"))
 
 
-@query("a10_change_counts", "SELECT column_name AS change, sum(coalesce(v, 0)) AS n FROM (UNPIVOT (SELECT n_added, n_deleted, n_merged, n_split, n_migrated, n_renamed, n_content, n_edge_added, n_edge_dropped FROM c) ON COLUMNS(*) INTO NAME column_name VALUE v) GROUP BY column_name")
+@query("a10_change_counts", "SELECT column_name AS change, CAST(sum(coalesce(v, 0)) AS BIGINT) AS n FROM (UNPIVOT (SELECT n_added, n_deleted, n_merged, n_split, n_migrated, n_renamed, n_content, n_edge_added, n_edge_dropped FROM c) ON COLUMNS(*) INTO NAME column_name VALUE v) GROUP BY column_name")
 def _(g):
     names = ["n_added", "n_deleted", "n_merged", "n_split", "n_migrated", "n_renamed", "n_content", "n_edge_added", "n_edge_dropped"]
     return g.changesets.select(*names).unpivot([], names, "change", "v").groupBy("change").agg(F.sum(F.coalesce("v", F.lit(0))).alias("n"))
@@ -406,7 +406,7 @@ def _(g):
     return once.select("result_id", F.round(F.size(good) / F.greatest(F.size("citations"), F.lit(1)), 9).alias("valid_share"))
 
 
-@query("m8_totals", "SELECT arm, round(sum(elapsed_seconds), 6) AS seconds, sum(len(citations)) AS citations FROM (SELECT DISTINCT result_id, arm, elapsed_seconds, citations FROM results) GROUP BY arm")
+@query("m8_totals", "SELECT arm, round(sum(elapsed_seconds), 6) AS seconds, CAST(sum(len(citations)) AS BIGINT) AS citations FROM (SELECT DISTINCT result_id, arm, elapsed_seconds, citations FROM results) GROUP BY arm")
 def _(g):
     once = g.raw("results").select("result_id", "arm", "elapsed_seconds", "citations").distinct()
     return once.groupBy("arm").agg(F.round(F.sum("elapsed_seconds"), 6).alias("seconds"), F.sum(F.nullif(F.size("citations"), F.lit(-1))).alias("citations"))
@@ -434,10 +434,10 @@ def _(g):
     return g.nodes.where("name is not null").select("id", slug(F.col("name")).alias("slug"))
 
 
-@query("fn_comma_list", "SELECT id, [y for y in [trim(z) for z in string_split(source_refs, ',')] if y <> ''] AS refs FROM n WHERE source_refs IS NOT NULL")
+@query("fn_comma_list", "SELECT id, array_to_string([y for y in [trim(z) for z in string_split(source_refs, ',')] if y <> ''], '|') AS refs FROM n WHERE source_refs IS NOT NULL")
 def _(g):
     parts = F.filter(F.transform(F.split("source_refs", ","), lambda x: F.trim(x)), lambda x: x != "")
-    return g.nodes.where("source_refs is not null").select("id", parts.alias("refs"))
+    return g.nodes.where("source_refs is not null").select("id", F.array_join(parts, "|").alias("refs"))
 
 
 @query("fn_base_name", r"SELECT seq, regexp_extract(snapshot_file, '([^/\\]*)$', 1) AS file FROM c WHERE snapshot_file IS NOT NULL")
@@ -507,7 +507,7 @@ def _(g):
     return mutate.replace_semantic(g.edges, new, g.nodes, one["domain"], one["subdomain"]).select("source_id", "target_id", "kind", "confidence", "provenance")
 
 
-@query("k12_source_upsert", "WITH r AS (SELECT node_uuid, member_id, file_path, count(*) AS n, count(DISTINCT skill) AS k FROM node_sources GROUP BY 1, 2, 3) SELECT sum(n) AS attempted, count(*) AS kept, sum(n) - count(*) AS repeated, count(*) FILTER (WHERE k > 1) AS conflicting FROM r")
+@query("k12_source_upsert", "WITH r AS (SELECT node_uuid, member_id, file_path, count(*) AS n, count(DISTINCT skill) AS k FROM node_sources GROUP BY 1, 2, 3) SELECT CAST(sum(n) AS BIGINT) AS attempted, count(*) AS kept, CAST(sum(n) - count(*) AS BIGINT) AS repeated, count(*) FILTER (WHERE k > 1) AS conflicting FROM r")
 def _(g):
     return mutate.upsert_report(g.raw("node_sources"))
 
