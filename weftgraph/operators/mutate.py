@@ -121,7 +121,7 @@ def delete_by_subdomain(edges: DataFrame, nodes: DataFrame, domain: str, subdoma
 def replace_semantic(edges: DataFrame, candidates: DataFrame, nodes: DataFrame, domain: str, subdomain: str) -> DataFrame:
     """Semantic edges of a subdomain made equal to `candidates`; identities with a human-curated row stay as they are.
 
-    Candidates with empty, equal or missing endpoints are dropped, confidence and provenance filled, and of one
+    Candidates from outside the subdomain or with empty, equal or missing endpoints are dropped, confidence and provenance filled, and of one
     identity a row with an id is preferred. Existing identities take only description and confidence.
     """
     content = nodes.where(F.col("label").isin(*CONTENT_LABELS))
@@ -134,7 +134,7 @@ def replace_semantic(edges: DataFrame, candidates: DataFrame, nodes: DataFrame,
         .withColumns({"confidence": fill_confidence(F.col("confidence")), "provenance": fill_provenance(F.col("provenance"))})
     )
     w = Window.partitionBy(*EDGE_KEY).orderBy((F.coalesce("id", F.lit(0)) != 0).desc(), "id", F.col("confidence").desc())
-    good = good.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    good = good.join(own.distinct(), "source_id", "left_semi").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     scope = edges.join(own.distinct(), "source_id", "left_semi")
     outside = edges.join(own.distinct(), "source_id", "left_anti")
     human = scope.where(F.col("provenance") == HUMAN).select(*EDGE_KEY).distinct()
