@@ -88,3 +88,13 @@ def test_neighbours_ghosts_components_and_louvain(spark):
 def test_long_path_is_one_component(spark):
     path = spark.createDataFrame([(f"{i:04}", f"{i + 1:04}") for i in range(400)], "a string, b string")
     assert {r.component for r in graph.connected_components(path, "a", "b").collect()} == {"0000"}
+
+
+def test_path_of_shuffled_ids_is_one_component(spark):
+    ids = [f"{i:04}" for i in range(1_000)]
+    random.Random(5).shuffle(ids)
+    late = [f"x{i:02}" for i in range(1, 81)] + ["x00"]
+    path = spark.createDataFrame([*zip(ids, ids[1:]), *zip(late, late[1:])], "a string, b string")
+    label = {r.id: r.component for r in graph.connected_components(path, "a", "b").collect()}
+    assert len(label) == 1_081 and set(label.values()) == {"0000", "x00"}
+    assert all(c == ("x00" if i[0] == "x" else "0000") for i, c in label.items())

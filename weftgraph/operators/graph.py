@@ -174,22 +174,28 @@ def undirected(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.min("id").alias("edge_id"))
 
 
-def connected_components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """id and component (its least id) of every id in a pair.
 
-    Least-neighbour labels with pointer jumping, so a path of n nodes needs about log n rounds; each round is a written table.
+    Each round lowers a node's label to the least of its neighbours' labels (one step on), and so the label of the node
+    that stood for it; then labels jump to their label's label. Whatever the order of the ids on a path, whole stretches
+    are joined at once, about log n rounds in all. Rounds end when no label has changed, never before; each round is a
+    written table.
     """
     ends = materialize(pairs.select(F.col(a).alias("id"), F.col(b).alias("other")).unionByName(pairs.select(F.col(b).alias("id"), F.col(a).alias("other"))))
     label = materialize(ends.select("id").distinct().withColumn("component", F.col("id")))
-    for _ in range(rounds):
-        near = ends.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("near"))
-        least = label.join(near, "id").select("id", F.least("component", "near").alias("component"))
-        jump = least.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = materialize(least.join(jump, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component")))
-        if label.join(new.withColumnRenamed("component", "new"), "id").where("new <> component").isEmpty():
-            break
-        label = new
-    return label
+    while True:
+        further = label.select(F.col("id").alias("component"), F.col("component").alias("least"))
+        ahead = label.join(further, "component").select("id", "component", "least")
+        near = ends.join(ahead.select(F.col("id").alias("other"), "least"), "other").groupBy("id").agg(F.min("least").alias("near"))
+        offers = ahead.join(near, "id").select(F.inline(F.array(
+            F.struct("id", F.least("near", "least").alias("to"), F.col("component").alias("was")),
+            F.struct(F.col("component").alias("id"), F.col("near").alias("to"), F.lit(None).cast(label.schema["component"].dataType).alias("was")),
+        )))
+        new = materialize(offers.groupBy("id").agg(F.min("to").alias("to"), F.max("was").alias("was")).select("id", F.least("to", "was").alias("component"), (F.col("to") < F.col("was")).alias("changed")))
+        label = new.select("id", "component")
+        if new.where("changed").isEmpty():
+            return label
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 2, rounds: int = 6) -> DataFrame:
