@@ -12,35 +12,41 @@ CATEGORIES = ("added", "deleted", "merged_into", "split_into", "migrated", "rena
 EDGE_CHANGES = ("edge_added", "edge_dropped")
 CONTENT = ("summary", "description", "confidence")
 EDGE_KEY = ["source_id", "target_id", "kind"]
-MOST_ROUNDS = 64
 
 
 def latest_of(ids: DataFrame, lineage: DataFrame) -> DataFrame:
-    """id and latest: followed from one successor to the next (newest created_at, then least new id) until there is none; on a cycle the node before it closes."""
+    """id and latest: followed from one successor to the next (newest created_at, then least new id) until there is none; on a cycle the node before it closes.
+
+    Steps are doubled until they end, so a chain of n ids needs about log n rounds. What has not ended after as many
+    steps as there are ids leads into a cycle, and is walked step by step until it closes.
+    """
     newest = F.min_by("new_uuid", F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), F.col("new_uuid").alias("u")))
     step = materialize(lineage.where("new_uuid <> old_uuid").groupBy(F.col("old_uuid").alias("at")).agg(newest.alias("next")))
-    now = ids.select("id", F.col("id").alias("at"), F.array("id").alias("seen")).distinct()
-    done = None
-    for _ in range(MOST_ROUNDS):
-        joined = materialize(now.join(step, "at", "left").withColumn("stop", F.col("next").isNull() | F.array_contains("seen", F.col("next"))))
-        ended = joined.where("stop").select("id", F.col("at").alias("latest"))
-        done = ended if done is None else done.unionByName(ended)
-        now = joined.where("not stop").select("id", F.col("next").alias("at"), F.array_append("seen", F.col("next")).alias("seen"))
-        if now.isEmpty():
-            break
+    own, size, length = ids.select("id").distinct(), step.count(), 1
+    hop = materialize(step.join(step.select(F.col("at").alias("next"), F.lit(True).alias("open")), "next", "left").select("at", "next", F.coalesce("open", F.lit(False)).alias("open")))
+    while length <= size and not hop.where("open").isEmpty():
+        further = hop.select(F.col("at").alias("next"), F.col("next").alias("_next"), F.col("open").alias("_open"))
+        hop = materialize(hop.join(further, "next", "left").select("at", F.coalesce("_next", "next").alias("next"), F.coalesce("_open", F.lit(False)).alias("open")))
+        length *= 2
+    joined = materialize(own.join(hop.withColumnRenamed("at", "id"), "id", "left"))
+    done = joined.where("not coalesce(open, false)").select("id", F.coalesce("next", "id").alias("latest"))
+    now = joined.where("open").select("id", F.col("id").alias("at"), F.array("id").alias("seen"))
+    while not now.isEmpty():
+        walked = materialize(now.join(step, "at").withColumn("stop", F.array_contains("seen", F.col("next"))))
+        done = done.unionByName(walked.where("stop").select("id", F.col("at").alias("latest")))
+        now = walked.where("not stop").select("id", F.col("next").alias("at"), F.array_append("seen", F.col("next")).alias("seen"))
     return done
 
 
 def terminals(ids: DataFrame, lineage: DataFrame) -> DataFrame:
-    """id and terminal: every id without a successor that can be reached from it; ids on a pure cycle have none."""
-    step = lineage.select(F.col("old_uuid").alias("at"), F.col("new_uuid").alias("next")).distinct()
-    reach = materialize(ids.select("id", F.col("id").alias("at")).distinct())
-    frontier = reach
-    for _ in range(MOST_ROUNDS):
+    """id and terminal: every id without a successor that can be reached from it; ids on a pure cycle have none. Rounds end when nothing new is reached."""
+    step = materialize(lineage.select(F.col("old_uuid").alias("at"), F.col("new_uuid").alias("next")).distinct())
+    reach = frontier = materialize(ids.select("id", F.col("id").alias("at")).distinct())
+    rounds = 0
+    while not frontier.isEmpty():
         frontier = materialize(frontier.join(step, "at").select("id", F.col("next").alias("at")).distinct().join(reach, ["id", "at"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        reach = materialize(reach.unionByName(frontier))
+        rounds += 1
+        reach = materialize(reach.unionByName(frontier)) if rounds % 8 == 0 else reach.unionByName(frontier)
     return reach.join(step.select("at").distinct(), "at", "left_anti").select("id", F.col("at").alias("terminal"))
 
 
