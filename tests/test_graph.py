@@ -98,3 +98,30 @@ def test_path_of_shuffled_ids_is_one_component(spark):
     label = {r.id: r.component for r in graph.connected_components(path, "a", "b").collect()}
     assert len(label) == 1_081 and set(label.values()) == {"0000", "x00"}
     assert all(c == ("x00" if i[0] == "x" else "0000") for i, c in label.items())
+
+
+def test_communities_reach_a_local_best_of_modularity(spark):
+    rng = random.Random(8)
+    pairs = {(f"p{i:02}", f"p{i + 1:02}") for i in range(80)}
+    for g in range(6):
+        pairs |= {(f"g{g}n{i}", f"g{g}n{j}") for i in range(8) for j in range(i) if rng.random() < 0.6}
+        pairs.add((f"g{g}n0", f"g{(g + 1) % 6}n1"))
+    pairs |= {("hub", f"leaf{i}") for i in range(30)} | {("hub", "p00")}
+    edges = spark.createDataFrame([(i, a, b, "depends_on", 0.9) for i, (a, b) in enumerate(sorted(pairs))], E)
+    nodes = spark.createDataFrame([(x, "Entity", "d", "s") for x in sorted({x for p in pairs for x in p} | {"alone"})], N)
+    com = {r.id: r.community for r in graph.louvain(nodes, edges).collect()}
+    degree, total = {}, len(pairs)
+    for a, b in pairs:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+
+    def q(label):
+        tot = {}
+        for x, d in degree.items():
+            tot[label[x]] = tot.get(label[x], 0) + d
+        return sum(label[a] == label[b] for a, b in pairs) / total - sum((t / (2 * total)) ** 2 for t in tot.values())
+
+    comp = {r.id: r.component for r in graph.connected_components(edges, "source_id", "target_id").collect()}
+    found = q(com)
+    assert com["alone"] == "alone" and found >= q(comp)
+    joined = {frozenset((com[a], com[b])) for a, b in pairs if com[a] != com[b]}
+    assert joined and all(q({x: (min(j) if c in j else c) for x, c in com.items()}) <= found + 1e-12 for j in joined)

@@ -198,24 +198,26 @@ def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
             return label
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 2, rounds: int = 6) -> DataFrame:
-    """id and community: local moves towards higher modularity, then the same over communities.
-
-    The graph is simple and undirected with weight 1. In each round half of the nodes (by hash) may move, so that two
-    neighbours rarely swap; a node moves to the neighbouring community of greatest gain, of equal ones the least id,
-    and only where the gain beats staying. Nodes without an edge stay alone. Every step is an aggregation or a join on
-    ids; no component is gathered in one task.
+def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and community: local moves towards higher modularity, then the same over communities, until no move gains.
+
+    The graph is simple and undirected with weight 1. A node moves to the neighbouring community of greatest gain, of
+    equal ones the least id, and only where the gain beats staying. In each round half of the nodes (by hash) may move,
+    so that two neighbours rarely swap; see `_local_moves` for what ends the rounds. Passes over the graph of communities
+    end when one moves nothing. Nodes without an edge stay alone. Every step is an aggregation or a join on ids; no
+    component is gathered in one task.
     """
-    links = undirected(edges).select("a", "b", F.lit(1.0).alias("w"))
+    one = F.lit(1).cast("long").alias("w")
+    links = undirected(edges).select("a", "b", one)
     own = nodes.select("id").distinct()
     member = materialize(own.withColumn("community", F.col("id")))
     graph = links.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"), "w"))
-    for _ in range(passes):
+    while True:
         graph = materialize(graph)
         total = graph.agg(F.sum("w")).first()[0]
-        if not total:
+        label = _local_moves(graph, total) if total else None
+        if label is None:
             break
-        label = _local_moves(graph, float(total), rounds)
         member = materialize(member.join(label.select(F.col("id").alias("community"), F.col("community").alias("_to")), "community", "left").select("id", F.coalesce("_to", "community").alias("community")))
         to_u, to_v = (label.select(F.col("id").alias(c), F.col("community").alias(f"_{c}")) for c in ("u", "v"))
         graph = graph.join(to_u, "u").join(to_v, "v").groupBy(F.col("_u").alias("u"), F.col("_v").alias("v")).agg(F.sum("w").alias("w"))
@@ -223,18 +225,47 @@ def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 2, rounds: int = 6
     return member.select("id", F.min("id").over(least).alias("community"))
 
 
-def _local_moves(graph: DataFrame, total: float, rounds: int) -> DataFrame:
-    degree = materialize(graph.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")))
+def _local_moves(graph: DataFrame, total: int) -> DataFrame | None:
+    """Labels after which no single move gains, or None if none does from the start.
+
+    Gains and modularity are whole numbers (times `total`, the sum of weights in both ways), so they compare exactly. A
+    round counts only if modularity rises: first the moves of half of the nodes are tried, then of an eighth, and if
+    neither helps those that share no community with a better one, which raise it by the sum of their gains. So
+    modularity rises in each round and the rounds end.
+    """
     outer = graph.where("u <> v")
-    label = degree.select("id", "k", F.col("id").alias("community"))
-    for r in range(rounds):
-        weight = label.groupBy("community").agg(F.sum("k").alias("tot"))
+    label = materialize(graph.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")).withColumn("community", F.col("id")))
+    q, moved, r = _quality(graph, label, total), False, 0
+    while True:
+        weight = label.groupBy(F.col("community").alias("cand")).agg(F.sum("k").alias("tot"))
         to = outer.join(label.select(F.col("id").alias("v"), "community"), "v").groupBy(F.col("u").alias("id"), F.col("community").alias("cand")).agg(F.sum("w").alias("w"))
         mine = label.select("id", "k", F.col("community").alias("now"))
-        stay = mine.select("id", F.col("now").alias("cand"), F.lit(0.0).alias("w"))
-        options = to.unionByName(stay).groupBy("id", "cand").agg(F.sum("w").alias("w")).join(mine, "id").join(weight.withColumnRenamed("community", "cand"), "cand")
-        gain = F.round(F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("cand") == F.col("now"), F.col("k")).otherwise(0.0)) / total, 9)
-        best = options.groupBy("id", "k", "now").agg(F.max_by("cand", F.struct(gain.alias("g"), (F.col("cand") == F.col("now")).cast("int").alias("s"), F.lit(0))).alias("best"))
-        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
-        label = materialize(best.select("id", "k", F.when(turn, F.col("best")).otherwise(F.col("now")).alias("community")))
-    return label
+        stay = mine.select("id", F.col("now").alias("cand"), F.lit(0).cast("long").alias("w"))
+        options = to.unionByName(stay).groupBy("id", "cand").agg(F.sum("w").alias("w")).join(mine, "id").join(weight, "cand")
+        here = F.col("cand") == F.col("now")
+        gain = F.col("w") * total - F.col("k") * (F.col("tot") - F.when(here, F.col("k")).otherwise(0))
+        best = options.groupBy("id", "k", "now").agg(F.max(F.when(here, gain)).alias("stay"), F.min(F.struct((-gain).alias("g"), (~here).alias("s"), "cand")).alias("b"))
+        best = materialize(best.select("id", "k", "now", F.col("b.cand").alias("to"), (-F.col("b.g") - F.col("stay")).alias("gain")))
+        movers = best.where("to <> now")
+        if movers.isEmpty():
+            return label if moved else None
+        for parts in (2, 8, 0):
+            if parts:
+                go = movers.where(F.pmod(F.xxhash64("id", F.lit(r)), F.lit(parts)) == 0).select("id", F.col("to").alias("_to"))
+            else:
+                rank = F.struct(F.col("gain"), F.col("id"))
+                ends = movers.select("id", rank.alias("rank"), F.explode(F.array("now", "to")).alias("c"))
+                go = ends.groupBy("c").agg(F.max("rank").alias("m")).groupBy(F.col("m.id").alias("id")).count().where("count = 2").join(movers, "id").select("id", F.col("to").alias("_to"))
+            tried = materialize(best.join(go, "id", "left").select("id", "k", F.coalesce("_to", "now").alias("community")))
+            higher = _quality(graph, tried, total)
+            if higher > q:
+                break
+        label, q, moved, r = tried, higher, True, r + 1
+
+
+def _quality(graph: DataFrame, label: DataFrame, total: int) -> int:
+    """Modularity of the labels, times the square of `total`."""
+    a, b = (label.select(F.col("id").alias(c), F.col("community").alias(f"_{c}")) for c in ("u", "v"))
+    inside = graph.join(a, "u").join(b, "v").where("_u = _v").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    tot = label.groupBy("community").agg(F.sum("k").alias("tot"))
+    return inside * total - int(tot.agg(F.sum((F.col("tot") * F.col("tot")).cast("decimal(38,0)"))).first()[0])
