@@ -91,3 +91,22 @@ def test_shingle_pairs_equal_brute_force(spark):
     reps = [(min(v), k) for k, v in sets.items()]
     expected = sorted((a, b) for a, x in reps for b, y in reps if a < b and len(x & y) / len(x | y) >= 0.85)
     assert [(r.id_a, r.id_b) for r in evaluate.shingle_pairs(df, "id", "t").orderBy("id_a", "id_b").collect()] == expected
+
+
+def test_references_within_synonyms_equal_like(spark):
+    import re
+
+    rng = random.Random(4)
+    text = lambda letters, low, high: "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+    synonyms = {f"n{i:02}": text("abcAB ,_%\\", 0, 9) for i in range(40)} | {"s1": "sublease, rent", "s2": "x"}
+    names = sorted({text("abcAB ,_%\\", 1, 4) for _ in range(120)} | {"lease", "_", "%", "l_ase, r", "zzzz", "sub%rent", ""})
+    nodes = spark.createDataFrame([(k, "", v) for k, v in synonyms.items()] + [("none", "", None)], "id string, name string, synonyms string")
+    refs = spark.createDataFrame(list(enumerate(names)), "id long, target_entity string")
+    got = {r.target_entity: r.resolved_id for r in resolve.resolve_references(refs, nodes).collect()}
+
+    def like(name):
+        pattern = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in f"%{name}%".lower())
+        return min((k for k, v in synonyms.items() if v and re.fullmatch(pattern, v.lower(), re.S)), default=None)
+
+    assert got["lease"] == "s1" and got["zzzz"] is None
+    assert got == {n: like(n) if n else None for n in names}

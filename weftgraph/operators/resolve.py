@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from weftgraph.sources.schemas import SEMANTIC_KINDS
+from weftgraph.sources.tables import materialize
 
 PREFIX_SCALE, MOST_PREFIX = 0.1, 4
 LEVENSHTEIN, SIMILARITY = 3, 0.85
@@ -121,15 +122,34 @@ def resolve_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select(F.col("id").alias("target_entity"), F.col("id").alias("_id")).distinct()
     first = refs.join(by_name, "target_entity", "left").join(ids, "target_entity", "left")
     open_ = first.where("_name is null and _id is null").select("target_entity").distinct()
-    # a synonym holds the name as whole tokens or inside one: candidates meet on a token, the pattern decides
-    synonyms = nodes.where("synonyms <> ''").select("id", "synonyms")
-    tokens = synonyms.select("id", "synonyms", F.explode(F.array_distinct(F.split(F.lower("synonyms"), r"[\s,]+"))).alias("token"))
-    wanted = open_.select("target_entity", F.element_at(F.split(F.lower("target_entity"), r"[\s,]+"), 1).alias("token")).where("token <> ''")
-    held = wanted.join(tokens, "token").where(F.expr("lower(synonyms) like concat('%', lower(target_entity), '%')")).groupBy("target_entity").agg(F.min("id").alias("_synonym"))
+    held = _within(open_, nodes.where("synonyms <> ''").groupBy(F.lower("synonyms").alias("text")).agg(F.min("id").alias("id")))
     done = first.join(held, "target_entity", "left").withColumn("resolved_id", F.coalesce("_name", "_id", "_synonym"))
     return done.withColumn("resolution", F.when(F.col("resolved_id").isNull(), "external_kg").otherwise("resolved")).drop("_name", "_id", "_synonym")
 
 
+def _within(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """target_entity and _synonym: the least id of the texts that are like ``%name%``, whatever stands around the name.
+
+    Of a name the signs between wildcards are cut into runs of three (of fewer where no stretch has three, none where all
+    are wildcards); a text can only match if it holds every run. Name and text meet on the rarest run, the pattern decides.
+    """
+
+    def grams(text: Column, n: Column) -> Column:
+        return F.when(n == 0, F.array(F.lit(""))).when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))
+
+    stretches = F.split(F.lower("target_entity"), "[%_]")
+    size = F.least(F.lit(3), F.array_max(F.transform(stretches, F.length)))
+    wanted = names.where("target_entity <> ''").select("target_entity", stretches.alias("s"), size.alias("n"))
+    runs = materialize(wanted.select("target_entity", "n", F.explode(F.array_distinct(F.flatten(F.filter(F.transform("s", lambda x: grams(x, F.col("n"))), lambda g: g.isNotNull())))).alias("gram")))
+    sizes = F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3))
+    every = texts.select("text", "id", F.explode(F.array_distinct(F.flatten(F.filter(F.transform(sizes, lambda n: grams(F.col("text"), n)), lambda g: g.isNotNull())))).alias("gram"))
+    index = materialize(every.join(runs.select("gram").distinct(), "gram", "left_semi"))
+    often = runs.join(index.groupBy("gram").count(), "gram", "left")
+    rarest = often.groupBy("target_entity").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), F.col("gram"))).alias("m")).select("target_entity", F.col("m.gram").alias("gram"))
+    pattern = F.concat(F.lit("%"), F.replace(F.lower("target_entity"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    return rarest.join(index, "gram").withColumn("pattern", pattern).where("text like pattern").groupBy("target_entity").agg(F.min("id").alias("_synonym"))
+
+
 def fuse(candidates: DataFrame) -> DataFrame:
     """One node for equal (scope, label, name, summary, description, members): skills and synonyms united, the highest confidence; alias is the first of the aliases."""
     key = ["scope", "label", "name", "summary", "description"]
