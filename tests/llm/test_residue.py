@@ -63,3 +63,24 @@ def test_features_of_chunks_equal_those_of_single_texts():
     assert [residue.segments(t) for t in texts] == [["A b.", "C d!", "中文。", "x"], [], ["# Title", "row 5"], ["..."], []]
     alone = residue.features_of_segments(["A b.", "C d!"])
     assert sorted(alone.slot[alone.segment == 0][:2].tolist()) == sorted(f.slot[f.segment == 0][:2].tolist())
+
+
+@pytest.mark.parametrize("text", [
+    "This website requires JavaScript.", "Cookies are disabled.", "HTTP 405 Method Not Allowed", "This page could not be found.", "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris.",
+    "Set {{ " + "a very long name " * 9 + "}} now.", "TODO(" + "say what the hub does " * 4 + ")", "【待补充：" + "缓存" * 40 + "】",
+])
+def test_other_wordings_and_long_placeholders_are_found(text):
+    assert any(residue.residue_in(s) for s in residue.segments(residue.without_code(text)))
+
+
+def test_what_the_exact_check_finds_comes_out_at_any_score_and_clear_scores_alone():
+    model = residue.train([(h, t) for _, t, h in corpus(3_000)])
+    assert residue.is_case(model, "The hub waits {{ name }}", -50.0)
+    assert residue.is_case(model, "other words", 11.9) and not residue.is_case(model, "other words", model.sure - 0.1)
+
+
+def test_harmless_words_do_not_hide_a_placeholder(spark):
+    harmless = " ".join(f"the queue of shard {i} stays open during each review of the hub" for i in range(300))
+    docs = [*corpus(), (9_500, f"{harmless} and ${{OWNER}} signs {harmless}", "h")]
+    found = residue.residue(spark.createDataFrame(docs, "doc_id long, text string, skill string"), "doc_id", "text", "skill")
+    assert found.where("doc_id = 9500").count() == 1

@@ -4,8 +4,8 @@ A text without its code is cut into segments (lines, and sentences within lines)
 one- to three-token sequences (a token is a word, a number or one sign), its length, the text's length, and whether it
 is a title. A logistic regression with an L2 penalty is fitted on a bounded sample whose labels are weak: phrases of
 response statuses, filler and script notices that make up a whole segment, and the shapes of unfilled placeholders.
-Hosts (skills) are split: the threshold is chosen on hosts the fit has not seen. A text is a case if one of its
-segments is scored above the threshold and an exact check of that text confirms it, or is scored far above.
+Hosts (skills) are split: what counts as a clear score is chosen on hosts the fit has not seen. A text is a case if the
+exact check finds one of its segments, whatever its score, or if the classifier is sure of one by itself.
 """
 
 from __future__ import annotations
@@ -30,10 +30,13 @@ ROUNDS = 120
 LEAST = -0.05
 #: Share of weak positives of unseen hosts that the threshold must keep.
 KEEP = 0.999
-#: The threshold is never below this, whatever the unseen hosts hold.
+#: The threshold (a measure of the report) is never below this, whatever the unseen hosts hold.
 LOWEST = -4.5
-#: A score above which no exact check is asked for.
+#: A score that decides by itself where unseen hosts hold too few harmless segments (`FEW`) to choose one.
 SURE = 12.0
+FEW = 1_000
+#: Else a sure score lies this far above that of each harmless segment of unseen hosts.
+CLEAR = 3.0
 
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,}).*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)", re.M | re.S)
 _INLINE = re.compile(r"(`+)[^`\n]+\1")
@@ -42,14 +45,14 @@ _TAG = re.compile(r"</?(?:a|b|i|u|p|em|br|hr|h[1-6]|li|ul|ol|td|th|tr|div|span|s
 
 # Shapes of placeholders that nobody filled in.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|[$#]\{[^{}\n]{1,60}\}|\{%[^%\n]{1,60}%\}|<%.{1,60}?%>|<<[^<>\n]{1,60}>>|@@[^@\n]{1,40}@@|%[A-Z][A-Z_]{2,40}%"
-    r"|__[A-Z][A-Z_]{2,40}__|(?<![\w{$#%])\{[A-Za-z][A-Za-z_ ]{1,40}\}(?!\})"
-    r"|\[(?:your|insert|enter|hier|completar|compléter|à compléter|insérer|insertar|einfügen)\b[^\]\n]{1,60}\](?!\()|\[[^\]\n]{2,50}\b(?:goes here|einfügen|eintragen|à compléter|à insérer|aquí)\](?!\()"
-    r"|<(?:your|insert|insérer|insertar|hier|completar|compléter|bitte)\s[^<>\n]{1,60}>|<[^<>\n/]{2,50}\s(?:eintragen|einfügen|here|aquí|ici)>"
-    r"|(?<![a-z_])TODO\s?\([^)\n]{1,40}\)|(?<![a-z_])(?:TODO|TBD|FIXME)\s?:|(?<![a-z_\d])X{4,}(?![a-z_\d])|【(?:待|请|此处)[^】\n]{0,40}】|（(?:此处|待|请)[^）\n]{0,40}）|(?<![a-z_])TBD(?![a-z_])",
+    r"\{\{[^{}\n]+\}\}|[$#]\{[^{}\n]+\}|\{%[^%\n]+%\}|<%(?:(?!<%|%>).)+%>|<%.{1,60}?%>|<<[^<>\n]+>>|@@[^@\n]+@@|%[A-Z][A-Z_]{2,}%"
+    r"|__[A-Z][A-Z_]{2,}__|(?<![\w{$#%])\{[A-Za-z][A-Za-z_ ]+\}(?!\})"
+    r"|\[(?:your|insert|enter|hier|completar|compléter|à compléter|insérer|insertar|einfügen)\b[^\]\n]+\](?!\()|\[(?:[^\[\]\n]{2,}|[^\]\n]{2,50})\b(?:goes here|einfügen|eintragen|à compléter|à insérer|aquí)\](?!\()"
+    r"|<(?:your|insert|insérer|insertar|hier|completar|compléter|bitte)\s[^<>\n]+>|<[^<>\n/]{2,}\s(?:eintragen|einfügen|here|aquí|ici)>"
+    r"|(?<![a-z_])TODO\s?\([^)\n]+\)|(?<![a-z_])(?:TODO|TBD|FIXME)\s?:|(?<![a-z_\d])X{4,}(?![a-z_\d])|【(?:待|请|此处)[^】\n]*】|（(?:此处|待|请)[^）\n]*）|(?<![a-z_])TBD(?![a-z_])",
     re.I,
 )
-_CASED = re.compile(r"%[A-Z][A-Z_]{2,40}%|__[A-Z][A-Z_]{2,40}__|X{4,}|TODO|TBD|FIXME")
+_CASED = re.compile(r"%[A-Z][A-Z_]{2,}%|__[A-Z][A-Z_]{2,}__|X{4,}|TODO|TBD|FIXME")
 # Whole segments that stand in place of content.
 NOTICE = re.compile(
     r"""(?:
@@ -68,13 +71,21 @@ NOTICE = re.compile(
     |der\ dienst\ ist\ derzeit\ nicht\ erreichbar.*|zugriff\ verweigert|bitte\ melden\ sie\ sich\ erneut\ an
     |placeholder\ copy,\ replace\ later|this\ is\ sample\ text|text\ goes\ in\ this\ paragraph|占位文字.*|这里是示例文字|(?:测试内容)+|texte\ à\ remplacer\ ici|ceci\ est\ un\ faux\ texte
     |hier\ steht\ später\ der\ text|dies\ ist\ ein\ blindtext|(?:mustertext\s*)+|esto\ es\ texto\ de\ relleno|aquí\ irá\ el\ texto|(?:(?:asdf|jkl|qwertz?y?)\s*)+|lorem\ ipsum\b.*
+    |(?:this|our)\ (?:web\ ?)?(?:site|page|app|application)\ (?:requires|needs|depends\ on)\ (?:javascript|scripts|cookies)\b.*|please\ (?:enable|activate|allow|turn\ on|switch\ on)\ (?:javascript|scripts|cookies)\b.*
+    |(?:javascript|cookies|scripts)\ (?:is|are|seems?\ to\ be|must\ be)\ (?:disabled|required|blocked|turned\ off|switched\ off|enabled|not\ enabled)\b.{0,60}|(?:verify|verifying|confirm)\ (?:that\ )?you\ are\ (?:a\ )?human.*
+    |(?:http\ |error\ |status\ |http\ error\ )?[45]\d\d[\s:-]+(?:bad\ request|unauthorized|payment\ required|forbidden|not\ found|method\ not\ allowed|not\ acceptable|request\ time-?out|conflict|gone|too\ many\ requests|internal\ server\ error|not\ implemented|bad\ gateway|service\ (?:temporarily\ )?unavailable|gateway\ time-?out).{0,3}
+    |(?:the|this)\ (?:requested\ )?(?:page|site|url|resource)\ (?:you\ (?:requested|were\ looking\ for|are\ looking\ for)\ )?(?:could\ not\ be\ found|cannot\ be\ found|was\ not\ found|does\ not\ exist|no\ longer\ exists|is\ (?:currently\ |temporarily\ )?(?:unavailable|not\ available))
+    |you\ (?:do\ not|don['’]t)\ have\ permission\ to\ (?:access|open|see|view)\ this\ (?:page|site|resource|document)|your\ session\ (?:has\ )?(?:expired|timed\ out)|(?:please\ )?(?:sign|log)\ in\ (?:again\ )?to\ continue
     )[\s.。!！…]*""",
     re.I | re.X | re.S,
 )
 # Words of the pseudo-Latin that fills layouts; a segment of almost nothing else is filler.
 LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua condit porta malis ruda nuntia cursim sempra labor isque vela nullam vidis mora quies fera tenor pera".split()
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua condit porta malis ruda nuntia cursim sempra labor isque vela nullam vidis mora quies fera tenor pera "
+    "enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa qui officia deserunt mollit anim laborum".split()
 )
+#: Signs and words without which no placeholder can stand in a segment.
+_HINTS = ("{", "<", "@@", "%", "__", "[", "【", "（", "xxxx", "todo", "tbd", "fixme")
 _LEAD = re.compile(r"^[\s#>*+|-]*(?:\d+[.)]\s+)?(?:\[[ xX]\]\s*)?|[\s|]+$")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Examples of each kind of notice and each shape of placeholder, so that a small sample lacks none.
@@ -109,7 +120,8 @@ def without_code(text: str) -> str:
 
 def residue_in(segment: str) -> bool:
     """The exact check of one segment: an unfilled placeholder in it, or a notice or filler that makes it up."""
-    for m in PLACEHOLDER.finditer(segment):
+    low = segment.lower()
+    for m in PLACEHOLDER.finditer(segment) if any(h in low for h in _HINTS) else ():
         found = m.group(0)
         if not re.match(r"%|__|x|todo|tbd|fixme", found, re.I) or _CASED.search(found):
             return True
@@ -211,6 +223,7 @@ class Model:
     bias: float
     threshold: float
     report: dict[str, float]
+    sure: float = SURE
 
     def scores(self, f: Features) -> np.ndarray:
         return self.bias + np.bincount(f.segment, self.weights[f.slot], minlength=len(f.text))
@@ -264,11 +277,12 @@ def train(rows: list[tuple[str, str]]) -> Model:
     z = model.scores(features_of_segments(held)) if held else np.zeros(0)
     pos = np.sort(z[held_y])
     model.threshold = float(np.clip(pos[int((1 - KEEP) * len(pos))] - 0.3, LOWEST, -2.0)) if len(pos) else LOWEST
+    model.sure = float(z[~held_y].max() + CLEAR) if (~held_y).sum() >= FEW else SURE
     said = z > model.threshold
     hit = float((said & held_y).sum())
     model.report = {
         "segments_fitted": float(len(used)), "segments_unseen": float(len(held)), "positives_unseen": float(held_y.sum()),
-        "recall_unseen": hit / max(1.0, float(held_y.sum())), "precision_unseen": hit / max(1.0, float(said.sum())), "threshold": model.threshold,
+        "recall_unseen": hit / max(1.0, float(held_y.sum())), "precision_unseen": hit / max(1.0, float(said.sum())), "threshold": model.threshold, "sure": model.sure,
     }
     return model
 
@@ -303,7 +317,7 @@ def sample(documents: DataFrame, doc_id: str, text: str, host: str, n: int = SAM
 
 def is_case(model: Model, text: str, score: float) -> bool:
     """The decision on a text whose best segment has this score."""
-    return score > SURE or any(residue_in(s) for s in segments(text))
+    return score > model.sure or any(residue_in(s) for s in segments(text))
 
 
 def residue(documents: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
@@ -311,7 +325,7 @@ def residue(documents: DataFrame, doc_id: str, text: str, host: str) -> DataFram
 
     Null and empty texts, and texts of nothing but code, are no case. Ids that come twice come out once, with the
     higher score. Texts of any length are read whole. Other columns do not matter; an empty table gives an empty
-    result. The fit uses at most `SAMPLE_DOCS` rows; every row is scored.
+    result. The fit uses at most `SAMPLE_DOCS` rows; every row is scored and checked.
     """
     model = train(sample(documents, doc_id, text, host))
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -327,7 +341,7 @@ def residue(documents: DataFrame, doc_id: str, text: str, host: str) -> DataFram
                 z = model.scores(f)
                 best = np.full(high - low, -np.inf)
                 np.maximum.at(best, f.text, z)
-                found = [i for i in np.flatnonzero(best > model.threshold) if is_case(model, texts[low + i], best[i])]
+                found = [i for i in range(high - low) if is_case(model, texts[low + i], best[i])]
                 if found:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(low + np.array(found))), pa.array(best[found].astype(np.float64))], names=["doc_id", "score"])
 
