@@ -33,3 +33,10 @@ def test_hot_split_join_keeps_every_row(spark):
     right = spark.createDataFrame([("h", "H"), ("d", "D")], "k string, w string")
     for hot in (5, 500):
         assert sorted(map(tuple, hot_split_join(left, right, ["k"], hot).collect()), key=str) == sorted([(None, 0, None), *[("h", i, "H") for i in range(50)], ("c", 1, None), ("c", 1, None)], key=str)
+
+
+def test_the_cascade_has_no_bound_of_rounds():
+    import inspect
+
+    # a chain of more than 999 records takes as many rounds: too long for a test
+    assert "max_rounds" not in inspect.signature(orphan_cascade).parameters

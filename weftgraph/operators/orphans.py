@@ -17,7 +17,7 @@ MISSING, LATE = "missing", "late"
 DIRECT, INHERITED = "direct", "inherited"
 
 
-def orphan_cascade(refs: DataFrame, keys: DataFrame, parents: dict[str, str], hot_rows: int = HOT_ROWS, max_rounds: int = 1_000) -> DataFrame:
+def orphan_cascade(refs: DataFrame, keys: DataFrame, parents: dict[str, str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Orphaned references with their state, kind and depth.
 
     refs: ref_table, ref_key, own_key (under which others refer to this record, or null), key (null: no reference),
@@ -40,7 +40,9 @@ def orphan_cascade(refs: DataFrame, keys: DataFrame, parents: dict[str, str], ho
         return direct.drop("own_key")
     done = direct = materialize(direct)
     frontier = direct.where(F.col("state") == MISSING)
-    for depth in range(1, max_rounds):
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
         orphaned = frontier.where(F.col("own_key").isNotNull()).select(F.col("ref_table").alias("parent_table"), F.col("own_key").alias("key")).distinct()
         fresh = (
             refs.join(orphaned, ["parent_table", "key"], "left_semi")
@@ -50,8 +52,6 @@ def orphan_cascade(refs: DataFrame, keys: DataFrame, parents: dict[str, str], ho
             .join(done.select("ref_table", "ref_key", "key"), ["ref_table", "ref_key", "key"], "left_anti")
         )
         frontier = materialize(fresh.select(*out))
-        if frontier.isEmpty():
-            break
         done = materialize(done.unionByName(frontier)) if depth % 8 == 0 else done.unionByName(frontier)
     return done.drop("own_key")
 
