@@ -1,11 +1,14 @@
 """Template residue and machine notices in texts: a linear classifier over segments.
 
-A text without its code is cut into segments (lines, and sentences within lines). A segment's features are hashed
-one- to three-token sequences (a token is a word, a number or one sign), its length, the text's length, and whether it
-is a title. A logistic regression with an L2 penalty is fitted on a bounded sample whose labels are weak: phrases of
-response statuses, filler and script notices that make up a whole segment, and the shapes of unfilled placeholders.
-Hosts (skills) are split: what counts as a clear score is chosen on hosts the fit has not seen. A text is a case if the
-exact check finds one of its segments, whatever its score, or if the classifier is sure of one by itself.
+A text without its code is cut into segments (lines, and sentences within lines). Features of a segment are hashed one- to
+three-token sequences (a token is a word, a number or one sign), hashed sequences of token shapes (runs of words count as
+one, capitals apart) around brackets and other signs, its length, the text's length, and whether it is a title. A logistic
+regression with an L2 penalty is fitted on a bounded sample with weak labels: standard phrases of response statuses,
+script notices and filler where they make up a short segment; long sentences that hold such a phrase speak about it and
+are harmless. A fixed list of made-up examples of each family and language stands beside the sample, so a small sample
+lacks none. After a first fit, unlabelled segments that score high become positives and doubtful ones are left out, and
+the model is fitted again. Hosts (skills) are split: the threshold is chosen on hosts the fit has not seen. A text is a
+case if its best segment scores above the threshold; nothing else decides.
 """
 
 from __future__ import annotations
@@ -13,8 +16,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from http import HTTPStatus
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,89 +30,119 @@ from weftgraph.llm import vectext
 #: Documents the classifier is fitted on: those with the smallest hashes of their id. A bound on the fit alone.
 SAMPLE_DOCS = 2_500
 BITS = 18
-PENALTY = 1e-6
-ROUNDS = 120
+PENALTY = 4e-5
+ROUNDS, RATE = 80, 0.2
 #: Least weight of a feature: many harmless words must not outweigh one placeholder among them.
-LEAST = -0.05
-#: Share of weak positives of unseen hosts that the threshold must keep.
-KEEP = 0.999
-#: The threshold (a measure of the report) is never below this, whatever the unseen hosts hold.
-LOWEST = -4.5
-#: A score that decides by itself where unseen hosts hold too few harmless segments (`FEW`) to choose one.
-SURE = 12.0
-FEW = 1_000
-#: Else a sure score lies this far above that of each harmless segment of unseen hosts.
-CLEAR = 3.0
+LEAST = -0.02
+#: After each of these fits an unlabelled segment above the first score is a positive of the next; between the two it is left out.
+STEPS = ((1.5, -2.5), (0.5, -2.0))
+#: Weight of an unlabelled segment in the first fit: it may be a case without a known phrase.
+DOUBT = 0.3
+#: Where unseen hosts decide nothing, and how far they may move the threshold.
+THRESHOLD, REACH = 0.15, 1.5
+#: Weights against one unlabelled segment: of a weakly labelled positive, of one that speaks about such things, of a made-up example, of a harmless sentence that examples are put into.
+POSITIVE, SPEAKS, SEED, CALM = 8.0, 60.0, 5.0, 3.0
 
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,}).*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)", re.M | re.S)
 _INLINE = re.compile(r"(`+)[^`\n]+\1")
-_CODE = "\ue000"
+_CODE = ""
 _TAG = re.compile(r"</?(?:a|b|i|u|p|em|br|hr|h[1-6]|li|ul|ol|td|th|tr|div|span|strong|table|sup|sub)(?:\s[^<>]*)?/?>", re.I)
 
-# Shapes of placeholders that nobody filled in.
-PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]+\}\}|[$#]\{[^{}\n]+\}|\{%[^%\n]+%\}|<%(?:(?!<%|%>).)+%>|<%.{1,60}?%>|<<[^<>\n]+>>|@@[^@\n]+@@|%[A-Z][A-Z_]{2,}%"
-    r"|__[A-Z][A-Z_]{2,}__|(?<![\w{$#%])\{[A-Za-z][A-Za-z_ ]+\}(?!\})"
-    r"|\[(?:your|insert|enter|hier|completar|compléter|à compléter|insérer|insertar|einfügen)\b[^\]\n]+\](?!\()|\[(?:[^\[\]\n]{2,}|[^\]\n]{2,50})\b(?:goes here|einfügen|eintragen|à compléter|à insérer|aquí)\](?!\()"
-    r"|<(?:your|insert|insérer|insertar|hier|completar|compléter|bitte)\s[^<>\n]+>|<[^<>\n/]{2,}\s(?:eintragen|einfügen|here|aquí|ici)>"
-    r"|(?<![a-z_])TODO\s?\([^)\n]+\)|(?<![a-z_])(?:TODO|TBD|FIXME)\s?:|(?<![a-z_\d])X{4,}(?![a-z_\d])|【(?:待|请|此处)[^】\n]*】|（(?:此处|待|请)[^）\n]*）|(?<![a-z_])TBD(?![a-z_])",
-    re.I,
-)
-_CASED = re.compile(r"%[A-Z][A-Z_]{2,}%|__[A-Z][A-Z_]{2,}__|X{4,}|TODO|TBD|FIXME")
-# Whole segments that stand in place of content.
-NOTICE = re.compile(
-    r"""(?:
-    please\ enable\ javascript.*|you\ need\ to\ turn\ on\ scripts\ in\ your\ browser.*|your\ browser\ does\ not\ run\ scripts.*|javascript\ is\ disabled\ in\ your\ browser.*
-    |this\ app\ works\ best\ with\ javascript\ enabled|checking\ your\ browser\ before\ opening.*|scripts\ and\ cookies\ must\ be\ allowed
-    |您的浏览器已禁用脚本.*|请启用\s*javascript.*|veuillez\ activer\ javascript.*|votre\ navigateur\ bloque\ les\ scripts.*|bitte\ aktivieren\ sie\ javascript.*
-    |diese\ anwendung\ benötigt\ skripte.*|active\ javascript\ para\ ver.*|su\ navegador\ tiene\ los\ scripts\ desactivados
-    |40[0-9]\ (?:not\ found|forbidden|unauthorized|bad\ request).{0,3}|50[0-9]\ (?:bad\ gateway|service\ unavailable|internal\ server\ error|gateway\ time-?out).{0,3}
-    |the\ requested\ url\ was\ not\ found\ on\ this\ server|upstream\ closed\ the\ connection|internal\ server\ error|request\ id:\ ?[0-9a-f]+
-    |access\ denied|you\ don['’]t\ have\ permission\ to\ view\ this\ page|could\ not\ connect\ to\ the\ database.*|service\ temporarily\ unavailable.*
-    |too\ many\ requests.*|retry\ after\ \d+\ seconds|your\ session\ has\ expired|sign\ in\ again\ to\ continue|we\ couldn['’]t\ find\ the\ page\ you\ were\ looking\ for
-    |this\ page\ isn['’]t\ available\ right\ now|something\ went\ wrong\ while\ loading.*|oops!?\ ?.{0,60}|please\ try\ again\ later|reload\ the\ page
-    |访问被拒绝.*|没有权限查看此页面|服务器内部错误.*|\d*\s?页面不存在|您访问的页面已被删除|请求过于频繁.*|错误码\s*\d+
-    |erreur\ \d+\ ?:\ page\ introuvable|accès\ refusé|veuillez\ vous\ reconnecter|le\ service\ est.{0,20}indisponible.*|error\ \d+\ ?:\ página\ no\ encontrada
-    |servicio\ no\ disponible\ en\ este\ momento.*|acceso\ denegado|inicie\ sesión\ de\ nuevo|fehler\ \d+\ ?:\ seite\ nicht\ gefunden
-    |der\ dienst\ ist\ derzeit\ nicht\ erreichbar.*|zugriff\ verweigert|bitte\ melden\ sie\ sich\ erneut\ an
-    |placeholder\ copy,\ replace\ later|this\ is\ sample\ text|text\ goes\ in\ this\ paragraph|占位文字.*|这里是示例文字|(?:测试内容)+|texte\ à\ remplacer\ ici|ceci\ est\ un\ faux\ texte
-    |hier\ steht\ später\ der\ text|dies\ ist\ ein\ blindtext|(?:mustertext\s*)+|esto\ es\ texto\ de\ relleno|aquí\ irá\ el\ texto|(?:(?:asdf|jkl|qwertz?y?)\s*)+|lorem\ ipsum\b.*
-    |(?:this|our)\ (?:web\ ?)?(?:site|page|app|application)\ (?:requires|needs|depends\ on)\ (?:javascript|scripts|cookies)\b.*|please\ (?:enable|activate|allow|turn\ on|switch\ on)\ (?:javascript|scripts|cookies)\b.*
-    |(?:javascript|cookies|scripts)\ (?:is|are|seems?\ to\ be|must\ be)\ (?:disabled|required|blocked|turned\ off|switched\ off|enabled|not\ enabled)\b.{0,60}|(?:verify|verifying|confirm)\ (?:that\ )?you\ are\ (?:a\ )?human.*
-    |(?:http\ |error\ |status\ |http\ error\ )?[45]\d\d[\s:-]+(?:bad\ request|unauthorized|payment\ required|forbidden|not\ found|method\ not\ allowed|not\ acceptable|request\ time-?out|conflict|gone|too\ many\ requests|internal\ server\ error|not\ implemented|bad\ gateway|service\ (?:temporarily\ )?unavailable|gateway\ time-?out).{0,3}
-    |(?:the|this)\ (?:requested\ )?(?:page|site|url|resource)\ (?:you\ (?:requested|were\ looking\ for|are\ looking\ for)\ )?(?:could\ not\ be\ found|cannot\ be\ found|was\ not\ found|does\ not\ exist|no\ longer\ exists|is\ (?:currently\ |temporarily\ )?(?:unavailable|not\ available))
-    |you\ (?:do\ not|don['’]t)\ have\ permission\ to\ (?:access|open|see|view)\ this\ (?:page|site|resource|document)|your\ session\ (?:has\ )?(?:expired|timed\ out)|(?:please\ )?(?:sign|log)\ in\ (?:again\ )?to\ continue
-    )[\s.。!！…]*""",
-    re.I | re.X | re.S,
-)
-# Words of the pseudo-Latin that fills layouts; a segment of almost nothing else is filler.
-LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua condit porta malis ruda nuntia cursim sempra labor isque vela nullam vidis mora quies fera tenor pera "
-    "enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa qui officia deserunt mollit anim laborum".split()
-)
-#: Signs and words without which no placeholder can stand in a segment.
-_HINTS = ("{", "<", "@@", "%", "__", "[", "【", "（", "xxxx", "todo", "tbd", "fixme")
-_LEAD = re.compile(r"^[\s#>*+|-]*(?:\d+[.)]\s+)?(?:\[[ xX]\]\s*)?|[\s|]+$")
-_WORD = re.compile(r"[^\W\d_]+")
-#: Examples of each kind of notice and each shape of placeholder, so that a small sample lacks none.
-_SEED_NOTICES = (
-    "Please enable JavaScript to view this page.|You need to turn on scripts in your browser to continue.|Your browser does not run scripts, so Estbay cannot be shown.|JavaScript is disabled in your browser."
-    "|This app works best with JavaScript enabled.|Checking your browser before opening Estbay… scripts and cookies must be allowed.|您的浏览器已禁用脚本，无法显示本页。|请启用 JavaScript 后继续浏览。"
-    "|Veuillez activer JavaScript pour afficher cette page.|Votre navigateur bloque les scripts requis.|Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.|Diese Anwendung benötigt Skripte im Browser."
-    "|Active JavaScript para ver esta página.|Su navegador tiene los scripts desactivados.|404 Not Found|The requested URL was not found on this server.|502 Bad Gateway|upstream closed the connection"
-    "|Internal Server Error|Request id: 18e446f72663.|Access denied.|You don't have permission to view this page.|Could not connect to the database: timeout after 912 ms|Service temporarily unavailable due to maintenance, error 503."
-    "|Too many requests (429).|Retry after 42 seconds.|Your session has expired.|Sign in again to continue.|We couldn't find the page you were looking for.|This page isn't available right now.|Oops!"
-    "|Something went wrong while loading x.|访问被拒绝：没有权限查看此页面。|服务器内部错误，请稍后再试。|404 页面不存在|您访问的页面已被删除。|请求过于频繁，请 30 秒后重试。|Erreur 404 : page introuvable|Accès refusé.|Veuillez vous reconnecter."
-    "|Error 404: página no encontrada|Servicio no disponible en este momento, código 503|Acceso denegado.|Inicie sesión de nuevo.|Fehler 404: Seite nicht gefunden|Der Dienst ist derzeit nicht erreichbar.|Zugriff verweigert."
-    "|Bitte melden Sie sich erneut an.|Placeholder copy, replace later.|This is sample text.|Text goes in this paragraph.|占位文字，请替换。|这里是示例文字。|测试内容测试内容。|Texte à remplacer ici.|Ceci est un faux texte."
-    "|Hier steht später der Text.|Dies ist ein Blindtext.|Mustertext Mustertext Mustertext|Esto es texto de relleno.|Aquí irá el texto.|asdf jkl asdf asdf jkl asdf|Lorem ipsum dolor sit amet condit porta malis ruda."
-    "|Nuntia labor cursim sempra nuntia condit vela isque tenor cursim mora.|Vela isque labor nullam vidis malis nullam mora quies vidis labor amet porta."
+# Phrases of response statuses (published with the protocol), and standard phrases of each family by language.
+REASONS = sorted(s.phrase.lower() for s in HTTPStatus if s >= 400)
+PHRASES = {
+    ("script", "en"): r"(?:enable|activate|turn on|allow|requires?|without|needs?) (?:java)?scripts?|javascript (?:is|must be|has been|seems to be|to be) \w+",
+    ("script", "de"): r"javascript (?:ist|muss|bitte|im browser|zu aktivieren|aktivieren)|aktivieren sie (?:bitte )?(?:java)?scripts?|skripte",
+    ("script", "fr"): r"(?:activer|activez|autoriser) (?:le )?(?:java)?scripts?|javascript (?:est|doit)|bloque les scripts",
+    ("script", "es"): r"(?:activ\w+|habilit\w+|permit\w+) (?:el )?(?:java)?scripts?|javascript (?:está|debe)|scripts desactivados",
+    ("script", "zh"): r"(?:启用|开启|打开|允许|禁用)了?\s*(?:javascript|脚本)|(?:javascript|脚本)\s*(?:已|被|功能)",
+    ("missing", "en"): r"(?:page|url|site|file|resource|address) (?:was |is |could |can)?(?:not|cannot|no longer|n.t) (?:be )?(?:found|exists?|available)|(?:couldn.t|can.t|cannot|unable to) find (?:the|that|this) (?:page|site)|page not found",
+    ("missing", "de"): r"seite (?:wurde |konnte )?nicht gefunden|seite existiert nicht",
+    ("missing", "fr"): r"page (?:est )?introuvable|page (?:demandée )?n.existe pas|page non trouvée",
+    ("missing", "es"): r"página no (?:fue )?encontrada|página no existe|no se (?:ha )?encontr\w+ la página",
+    ("missing", "zh"): r"页面不存在|页面已被?删除|找不到.{0,6}页面|页面未找到",
+    ("denied", "en"): r"(?:access|permission) (?:is |was |has been )?denied|(?:not have|no|n.t have) permission|not authorized to (?:view|access)",
+    ("denied", "de"): r"(?:zugriff|zugang) verweigert|keine berechtigung",
+    ("denied", "fr"): r"accès (?:refusé|interdit)|pas (?:la permission|autorisé)",
+    ("denied", "es"): r"acceso (?:denegado|prohibido)|no tiene permiso",
+    ("denied", "zh"): r"访问被拒绝|拒绝访问|没有权限",
+    ("down", "en"): r"(?:temporarily|currently) (?:unavailable|down|offline)|service unavailable|try (?:again|later)|down for maintenance|(?:internal )?server error|bad gateway|too many requests|something went wrong|an error (?:has )?occurred|connection (?:was )?(?:refused|reset|timed out)|unexpected error",
+    ("down", "de"): r"nicht (?:erreichbar|verfügbar)|versuchen sie es (?:später|erneut)|interner serverfehler|wartungsarbeiten|fehler \d+",
+    ("down", "fr"): r"(?:est|temporairement|momentanément) indisponible|réessay\w+ plus tard|erreur (?:interne|\d+)|en maintenance",
+    ("down", "es"): r"no (?:está )?disponible|inténtelo|error interno|error \d+|en mantenimiento",
+    ("down", "zh"): r"服务器(?:内部)?错误|暂时?(?:不可用|无法访问)|请稍后|请求过于频繁|系统维护|错误码",
+    ("session", "en"): r"session (?:has |is )?(?:expired|timed out)|(?:sign|log) in (?:again )?to (?:continue|view|access)|verify (?:that )?you are (?:a )?human|checking your browser",
+    ("session", "de"): r"sitzung ist abgelaufen|melden sie sich (?:bitte )?(?:erneut |wieder )?an",
+    ("session", "fr"): r"session (?:a |est )?expirée?|veuillez vous (?:re)?connecter",
+    ("session", "es"): r"sesión ha (?:expirado|caducado)|inicie sesión",
+    ("session", "zh"): r"(?:会话|登录)已?过期|请重新登录",
+    ("filler", "en"): r"lorem ipsum|(?:sample|dummy|placeholder|filler) (?:text|copy|content)|text (?:goes|will go|comes) ",
+    ("filler", "de"): r"blindtext|platzhaltertext|mustertext|beispieltext",
+    ("filler", "fr"): r"faux texte|texte (?:de remplissage|d.exemple|à remplacer)",
+    ("filler", "es"): r"texto de (?:relleno|ejemplo|prueba|muestra)|aquí (?:va|irá)",
+    ("filler", "zh"): r"占位(?:文字|文本|符)|示例(?:文字|文本)|测试(?:内容|文本|文字)",
+}
+_FAMILIES = sorted({f for f, _ in PHRASES})
+_LANGUAGES = ("en", "de", "fr", "es", "zh")
+_WORD = re.compile(r"[㐀-䶿一-鿿]|[^\W_㐀-䶿一-鿿]+")
+_REASON = re.compile(rf"\W*(?:(?:http|error|status|code)\W*)*(?:[45]\d\d\W+)?(?:{'|'.join(map(re.escape, REASONS))})\W*", re.I)
+_LETTER = re.compile(r"[^\W\d_]")
+_MENTION = re.compile(rf"\b[45]\d\d\s+(?:{'|'.join(map(re.escape, REASONS))})\b", re.I)
+_STATUS = re.compile(r"\W*(?:(?:http|error|status|code|erreur|fehler|código|错误)\W*)+[45]\d\d\b.{0,40}|[45]\d\d\W.{0,40}", re.I | re.S)
+_LATIN = re.compile(r"^\W*lorem ipsum|ipsum.*(?:ipsum|lorem|dolor|amet)|(?:dolor|amet).*ipsum", re.I)
+#: A segment that a phrase may stand for has at most so many words; one with more speaks about it.
+SHORT = 12
+# Shapes of placeholders that leave no doubt; the weak label of the sample. %s: what is to be filled in.
+_SHAPE = re.compile(r"\{\{[^{}\n]+\}\}|[$#]\{[^{}\n]+\}|\{%[^%\n]+%\}|<%[^%\n]+%>|<<[^<>\n]+>>|@@[^@\n]+@@|\[(?:INSERT|YOUR|ENTER)\b[^\]\n]+\](?!\()")
+SHAPES = {
+    "en": "{{ %s }}|{{%s}}|${%s}|#{%s}|{%s}|{%% %s %%}|<%%= %s %%>|<<%s>>|@@%s@@|%%%S%%|__%S__|[Your %s]|[Your %s here]|[INSERT %S]|[Insert %s here]|[Enter %s]|[%s goes here]|[%s here]|<YOUR %S>|<your %s>|<insert %s>|<enter %s>|<%s here>|TODO(%s)|TODO: %s|TBD: %s|TBD|FIXME: %s|XXXX|XXXXX|[TBD]",
+    "de": "[hier %s einfügen]|[Ihr %s]|<bitte %s eintragen>|<%s einfügen>|<%s eintragen>|[%s eintragen]|[%s einfügen]|<hier %s>",
+    "fr": "[votre %s]|[insérer %s]|<insérer %s>|[%s à compléter]|[à compléter : %s]|<votre %s>|[compléter %s]",
+    "es": "[su %s]|[insertar %s]|<insertar %s>|[completar %s]|<completar %s>|[%s aquí]|<%s aquí>",
+    "zh": "【待补充：%s】|【请填写%s】|（此处填写%s）|（待填写）|【%s】待补|（请输入%s）|【此处插入%s】|[请填写%s]",
+}
+#: How many words each shape is filled with; the words come from the sample, so they speak for nothing.
+NAMES = 10
+_PLACE = re.compile(r"[㐀-䶿一-鿿]{2}|[^\W㐀-䶿一-鿿]+(?:[._]\w+)*")
+# Made-up examples of each family and language.
+SEEDS = {
+    ("script", "en"): "Please enable JavaScript in your browser.|JavaScript is required to use this site.|This site requires JavaScript to work.|You need to enable JavaScript to run this app.|JavaScript has been disabled in your settings.|Scripts must be allowed for this page.|Turn on scripts to continue.|This page works best with JavaScript turned on.|Your browser does not support scripts.|Cookies and scripts are blocked, please allow them.|We're sorry, but this app doesn't work properly without JavaScript enabled.",
+    ("script", "de"): "Bitte aktivieren Sie JavaScript in Ihrem Browser.|JavaScript ist deaktiviert.|Diese Seite benötigt JavaScript.|Ihr Browser blockiert Skripte.|Für diese Anwendung müssen Skripte erlaubt sein.",
+    ("script", "fr"): "Veuillez activer JavaScript dans votre navigateur.|JavaScript est désactivé.|Ce site nécessite JavaScript.|Votre navigateur bloque les scripts.|Cette application a besoin de scripts.",
+    ("script", "es"): "Habilite JavaScript en su navegador.|JavaScript está desactivado.|Este sitio necesita JavaScript.|Su navegador bloquea los scripts.|Active los scripts para continuar.",
+    ("script", "zh"): "请在浏览器中启用 JavaScript。|JavaScript 已被禁用。|本页面需要 JavaScript 支持。|您的浏览器不支持脚本。|请允许脚本运行后继续。|脚本已被浏览器禁用，无法显示内容。",
+    ("missing", "en"): "404 Not Found|Page not found|Error 404: page not found|The page you requested could not be found.|The requested URL was not found.|This page is not available.|Sorry, this page doesn't exist.|We can't find that page.|We couldn't find what you were looking for.|The file has been removed or never existed.|Oops! Nothing here.|410 Gone",
+    ("missing", "de"): "Seite nicht gefunden|Fehler 404|Fehler 404: Die Seite wurde nicht gefunden.|Die angeforderte Seite existiert nicht.|404 Nicht gefunden",
+    ("missing", "fr"): "Page introuvable|Erreur 404|Erreur 404 : page non trouvée|La page demandée n'existe pas.|404 Introuvable",
+    ("missing", "es"): "Página no encontrada|Error 404|Error 404: la página no existe|La página solicitada no existe.|404 No encontrado",
+    ("missing", "zh"): "页面不存在|404 找不到页面|您访问的页面不存在。|页面未找到|该页面已被移除。|404 未找到",
+    ("denied", "en"): "Access denied|403 Forbidden|Permission denied|You do not have permission to access this page.|You are not authorized to view this resource.|401 Unauthorized|Access to this page has been denied.",
+    ("denied", "de"): "Zugriff verweigert|Sie haben keine Berechtigung für diese Seite.|Zugang verweigert|403 Verboten",
+    ("denied", "fr"): "Accès refusé|Accès interdit|Vous n'avez pas la permission de voir cette page.|403 Interdit",
+    ("denied", "es"): "Acceso denegado|No tiene permiso para ver esta página.|Acceso prohibido|403 Prohibido",
+    ("denied", "zh"): "访问被拒绝|拒绝访问|您没有权限访问此页面。|403 禁止访问|权限不足，无法查看。",
+    ("down", "en"): "503 Service Unavailable|502 Bad Gateway|500 Internal Server Error|504 Gateway Timeout|Error 500|429 Too Many Requests|Too many requests, please slow down.|Service temporarily unavailable.|Please try again later.|Retry after a few seconds.|Something went wrong.|An unexpected error occurred while loading the page.|The server closed the connection.|Could not connect to the server: timeout|Connection refused by upstream|Could not connect to the database.|We are down for maintenance.|Reload this page.|Request id: 4f1c|Reference id: 17|Trace id: 9|Error code: 17",
+    ("down", "de"): "Interner Serverfehler|Der Server ist derzeit nicht erreichbar.|Der Dienst ist vorübergehend nicht verfügbar.|Bitte versuchen Sie es später erneut.|Fehler 500|Fehler 503: Dienst nicht verfügbar|Es ist ein Fehler aufgetreten.|Zu viele Anfragen",
+    ("down", "fr"): "Erreur interne du serveur|Le service est indisponible.|Service temporairement indisponible|Veuillez réessayer plus tard.|Erreur 500|Erreur 503 : service indisponible|Une erreur est survenue.|Trop de requêtes",
+    ("down", "es"): "Error interno del servidor|El servicio no está disponible.|Servicio no disponible|Servicio temporalmente no disponible|Inténtelo de nuevo más tarde.|Error 500|Error 503: servicio no disponible|Se ha producido un error.|Demasiadas solicitudes",
+    ("down", "zh"): "服务器内部错误|服务暂时不可用|请稍后再试。|系统维护中，请稍后重试。|请求过于频繁，请稍后再试。|错误码 500|发生未知错误。",
+    ("session", "en"): "Your session has expired.|Session timed out.|Please log in to continue.|Please sign in again.|Log in to view this page.|Verify you are human.|Checking your browser before accessing the site.|Checking if the connection is secure",
+    ("session", "de"): "Ihre Sitzung ist abgelaufen.|Bitte melden Sie sich an.|Bitte erneut anmelden.",
+    ("session", "fr"): "Votre session a expiré.|Veuillez vous connecter.|Veuillez vous identifier de nouveau.",
+    ("session", "es"): "Su sesión ha expirado.|Inicie sesión para continuar.|Vuelva a iniciar sesión.",
+    ("session", "zh"): "会话已过期，请重新登录。|请登录后继续。|登录已过期。",
+    ("filler", "en"): "Lorem ipsum dolor sit amet, consectetur adipiscing elit.|Sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.|Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris.|Duis aute irure dolor in reprehenderit in voluptate velit esse cillum.|Excepteur sint occaecat cupidatat non proident, sunt in culpa.|This is placeholder text.|Sample text|Dummy text, to be replaced.|Placeholder copy goes here.|Your text goes here.|Text will go in here.|Replace this text later.|Insert your content here.|This is a sample paragraph.|asdf asdf asdf|qwerty qwerty|blah blah blah|foo bar foo bar|test test test",
+    ("filler", "de"): "Dies ist ein Blindtext.|Platzhaltertext|Hier steht ein Beispieltext.|Hier kommt später Text hin.|Mustertext|Beispieltext Beispieltext",
+    ("filler", "fr"): "Ceci est un faux texte.|Texte d'exemple à remplacer.|Texte de remplissage|Le texte viendra ici.|Remplacer ce texte",
+    ("filler", "es"): "Este es un texto de relleno.|Texto de relleno|Texto provisional|Texto de ejemplo|Texto de prueba|Aquí va el texto.|Reemplace este texto",
+    ("filler", "zh"): "这是占位文字。|示例文本|测试内容测试内容|此处为示例文字，请替换。|文字内容待替换。",
+}
+# Made-up sentences that speak about such things.
+HARMLESS = (
+    "The page says that access was denied when the token is missing.|A 404 from the upstream is retried three times before the run fails.|Load tests use lorem ipsum paragraphs as neutral input.|Benchmarks take lorem ipsum of a fixed length as input.|The editor fills new pages with lorem ipsum until someone writes them.|Without JavaScript the viewer shows a plain list.|The viewer depends on JavaScript, else it shows a fixed list."
+    "|Ohne JavaScript zeigt die Ansicht nur eine Liste.|Sans JavaScript, la vue montre une liste fixe.|Sin JavaScript, la vista muestra una lista fija.|查看器依赖 JavaScript，否则只显示列表。|A service that is unavailable counts as failed after a minute.|The template engine replaces every placeholder at build time."
+    "|Users who are not found in the table get a new row.|The session expires after ten minutes.|Sessions that expired are removed each night.|Retry after the lease has ended.|The error page of the gateway names the failed host.|Items on the TODO list are closed each week.|Guarda todo lo que el sistema considera nuevo.|See [the guide](docs/guide.md) for more.|- [ ] check the list|- [x] done|Use <https://example.org> as base.|Values between 10% and 20% are fine."
 ).split("|")
-_SEED_SHAPES = (
-    "{{ %s }}\n{{%s}}\n${%s}\n#{%s}\n{%s}\n{%% %s %%}\n<%%= %s %%>\n<<%s>>\n@@%s@@\n%%%s%%\n__%s__\n[Your %s here]\n[INSERT %s]\n[%s goes here]\n[hier %s einfügen]\n[completar %s]\n<YOUR %s>\n<insérer %s>\n<insertar %s>"
-    "\nTODO(%s)\nTBD: %s\nXXXX\n【待补充：%s】\n（此处填写%s）"
-).split("\n")
-_SEED_NAMES = ["summary", "OWNER", "release_date", "ComponentName", "first_name", "link", "TICKET", "缓存", "version", "region_code"]
 
 
 def without_code(text: str) -> str:
@@ -118,20 +154,6 @@ def without_code(text: str) -> str:
     return text
 
 
-def residue_in(segment: str) -> bool:
-    """The exact check of one segment: an unfilled placeholder in it, or a notice or filler that makes it up."""
-    low = segment.lower()
-    for m in PLACEHOLDER.finditer(segment) if any(h in low for h in _HINTS) else ():
-        found = m.group(0)
-        if not re.match(r"%|__|x|todo|tbd|fixme", found, re.I) or _CASED.search(found):
-            return True
-    bare = _LEAD.sub("", segment)
-    if bare and NOTICE.fullmatch(bare):
-        return True
-    words = _WORD.findall(bare.lower())
-    return len(words) >= 4 and sum(w in LATIN for w in words) >= 0.8 * len(words)
-
-
 def segments(text: str) -> list[str]:
     """The segments of a text from which code was taken."""
     codes = vectext.code_points(text)
@@ -151,68 +173,153 @@ def _breaks(codes: np.ndarray) -> np.ndarray:
     return (codes == 10) | (codes == 13) | (codes == 0) | stop | (codes == 0x3002) | (codes == 0xFF01) | (codes == 0xFF1F)
 
 
+@lru_cache(1)
+def _phrases() -> dict[tuple[str, str], re.Pattern]:
+    return {k: re.compile(v, re.I) for k, v in PHRASES.items()}
+
+
+def _length(text: str) -> float:
+    """Words; a Han character counts as half of one."""
+    return sum(0.5 if "㐀" <= w <= "鿿" else 1 for w in _WORD.findall(text))
+
+
+def weak_label(segment: str, left_out: str | None = None) -> bool | None:
+    """True where a status or a standard phrase makes up a short segment, or a placeholder's shape is beyond doubt; False where a long sentence speaks of one; else null. `left_out`: a family or language whose phrases are not used."""
+    if not _LETTER.search(segment):
+        return False
+    if left_out != "shapes" and _SHAPE.search(segment):
+        return True
+    if left_out not in ("en", "down", "missing", "denied") and _REASON.fullmatch(segment):
+        return True
+    if left_out not in ("filler", "en") and _LATIN.search(segment):
+        return True
+    words = _length(segment)
+    if words > SHORT and _MENTION.search(segment):
+        return False
+    status = left_out not in ("down", "missing", "denied") and words <= 8 and _STATUS.fullmatch(segment) is not None
+    for key, pattern in _phrases().items():
+        if left_out not in key and (m := pattern.search(segment)):
+            if words > SHORT:
+                return False
+            if status or _length(m.group(0)) >= 0.25 * words:
+                return True
+    return None
+
+
+@lru_cache(1)
+def _case() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower case of each code point, whether a sign makes a sequence of shapes worth a feature, and whether it is no part of a segment it begins."""
+    lower = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x41, 0x10400):
+        if not 0xD800 <= c < 0xE000 and len(x := chr(c).lower()) == 1:
+            lower[c] = ord(x)
+    special = np.zeros(0x110000, bool)
+    special[[ord(c) for c in "{}<>[]()%@$#_（）【】《》「」［］｛｝〈〉"]] = True
+    marker = np.zeros(0x110000, bool)
+    marker[[ord(c) for c in "#>-*+|"]] = True
+    return lower, special, marker
+
+
 @dataclass
 class Features:
-    """Feature numbers of segments: `slot[k]` belongs to segment `segment[k]`; `text`: each segment's text."""
+    """Feature numbers of segments in groups: `groups` holds (slot, segment) arrays; `text`: each segment's text."""
 
-    slot: np.ndarray
-    segment: np.ndarray
+    groups: list[tuple[np.ndarray, np.ndarray]]
     text: np.ndarray
 
+    def __len__(self) -> int:
+        return len(self.text)
+
+
+_M = np.uint64(0x9E3779B97F4A7C15)
+_TOP = np.uint64(64 - BITS)
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h * _M >> _TOP).astype(np.int32)
+
+
+def _shifted(values: np.ndarray, new: np.ndarray, first: np.uint64) -> np.ndarray:
+    """The value before each, `first` at the start of a segment."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[new] = first
+    return out
+
 
 def features(texts: list[str]) -> Features:
     """Hashed features of all segments of texts without code."""
-    lowered = [t.lower() for t in texts]
-    codes = vectext.code_points("\x00".join(lowered) + "\x00")
-    if not len(codes):
-        return Features(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    starts, ends = vectext.cut_words(codes)
-    token = vectext.span_hashes(codes, starts, ends)
-    first = codes[starts]
-    token[(first >= 48) & (first <= 57)] = np.uint64(7)
-    kind = vectext._tables()[0][codes]
+    codes = vectext.code_points("\x00".join(texts) + "\x00")
+    if len(codes) <= len(texts):
+        return Features([], np.zeros(0, np.int64))
+    lower, special, marker = _case()
+    low = lower[codes]
+    starts, ends = vectext.cut_words(low)
+    token = vectext.span_hashes(low, starts, ends)
+    first = low[starts]
+    kind = vectext._tables()[0][low]
+    number = (first >= 48) & (first <= 57)
+    token[number] = np.uint64(7)
+    capitals = np.concatenate([[0], np.cumsum(low != codes)])
+    upper = (capitals[ends] - capitals[starts] == ends - starts) & (ends - starts > 1)
+    shape = np.where(number, 3, np.where(kind[starts] == 2, 4, np.where(upper, 2, 1))).astype(np.uint64)
     signs = np.flatnonzero((kind == 0) & (codes > 32) & (codes != 0xA0) & (codes != 0x3000))
     at = np.concatenate([starts, signs])
-    every = np.concatenate([token, vectext.mix(codes[signs].astype(np.uint64) + np.uint64(1 << 40))])
     order = np.argsort(at, kind="stable")
-    at, every = at[order], every[order]
+    at = at[order]
+    if not len(at):
+        return Features([], np.zeros(0, np.int64))
+    every = np.concatenate([token, vectext.mix(codes[signs].astype(np.uint64) + np.uint64(1 << 40))])[order]
+    shape = np.concatenate([shape, codes[signs].astype(np.uint64) + np.uint64(16)])[order]
     brk = _breaks(codes)
-    number = np.cumsum(brk) - brk
-    seg = number[at]
+    seg = (np.cumsum(brk) - brk)[at]
     new = np.ones(len(seg), bool)
     new[1:] = seg[1:] != seg[:-1]
-    seg = np.cumsum(new) - 1
-    count = int(seg[-1]) + 1 if len(seg) else 0
+    titles = np.zeros(int(seg[-1]) + 1, bool)
+    titles[seg[new]] = every[new] == vectext.mix(np.array([35 + (1 << 40)], np.uint64))[0]
+    while (lead := new & marker[np.where(shape >= 16, shape - np.uint64(16), 0).astype(np.int64)]).any():
+        at, every, shape, seg = at[~lead], every[~lead], shape[~lead], seg[~lead]
+        if not len(seg):
+            return Features([], np.zeros(0, np.int64))
+        new = np.ones(len(seg), bool)
+        new[1:] = seg[1:] != seg[:-1]
+    titled = titles[seg[new]]
+    seg = (np.cumsum(new) - 1).astype(np.int32)
     begin = np.flatnonzero(new)
-    text_at = np.cumsum([0, *(len(t) + 1 for t in lowered)])
+    count = len(begin)
+    text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     text = np.searchsorted(text_at, at[begin], side="right") - 1
-    one = np.uint64(1)
+    last = np.append(new[1:], True)
     bos, eos = np.uint64(11), np.uint64(13)
-    prev = np.empty_like(every)
-    prev[1:] = every[:-1]
-    if len(prev):
-        prev[0] = bos
-    prev[new] = bos
-    prev2 = np.empty_like(every)
-    prev2[1:] = prev[:-1]
-    if len(prev2):
-        prev2[0] = bos
-    prev2[new] = bos
-    last = np.append(new[1:], True) if len(new) else new
-    m = np.uint64(0x9E3779B97F4A7C15)
-    two = (prev * m + every) * m
-    three = (prev2 * m + prev) * m + every + one
-    ending = (every[last] * m + eos) * m + np.uint64(3)
-    ending2 = ((prev[last] * m + every[last]) * m + eos) * m + np.uint64(5)
+    prev = _shifted(every, new, bos)
+    prev2 = _shifted(prev, new, bos)
+    groups = [(_slots(every), seg), (_slots((prev * _M + every) * _M), seg), (_slots((prev2 * _M + prev) * _M + every + np.uint64(1)), seg)]
+    which = np.arange(count, dtype=np.int32)
+    ending = (every[last] * _M + eos) * _M
+    ending2 = ((prev[last] * _M + every[last]) * _M + eos) * _M + np.uint64(5)
     size = np.diff(np.append(begin, len(seg)))
-    title = every[begin] == vectext.mix(np.array([35 + (1 << 40)], np.uint64))[0]
-    length = np.minimum(np.log2(size + 1).astype(np.int64), 8)
+    length = np.minimum(np.log2(size + 1) * 2, 14).astype(np.int64)
     doc_length = np.minimum(np.log2(np.diff(text_at) + 1).astype(np.int64), 16)[text]
-    extra = np.uint64(1 << 50) + (length + 16 * title).astype(np.uint64), np.uint64(1 << 51) + (doc_length * 16 + length).astype(np.uint64)
-    hashes = np.concatenate([every, two, three, ending, ending2, *extra])
-    slot = (hashes * m >> np.uint64(64 - BITS)).astype(np.int64)
-    which = np.arange(count)
-    return Features(slot, np.concatenate([seg, seg, seg, which, which, which, which]), text)
+    for extra in (ending, ending2, np.uint64(1 << 50) + (length + 16 * titled).astype(np.uint64), np.uint64(1 << 51) + (np.minimum(doc_length, 9) * 16 + length).astype(np.uint64)):
+        groups.append((_slots(extra), which))
+    # shapes: a run of words, capitals, numbers or Han characters counts as one
+    keep = new.copy()
+    keep[1:] |= (shape[1:] != shape[:-1]) | (shape[1:] >= 16)
+    s, owner, fresh = shape[keep], seg[keep], new[keep]
+    mark = special[np.where(s >= 16, s - np.uint64(16), 0).astype(np.int64)]
+    closing = np.append(fresh[1:], True)
+    window, near = s * _M, mark
+    back, was = s, mark
+    for k in range(2, 6):
+        back = _shifted(back, fresh, bos)
+        was = np.concatenate([[False], was[:-1]]) & ~fresh
+        near = near | was
+        window = (window + back) * _M + np.uint64(k)
+        if k > 2:
+            groups.append((_slots(window[near]), owner[near]))
+            end = near & closing
+            groups.append((_slots(window[end] * _M + eos), owner[end]))
+    return Features(groups, text)
 
 
 @dataclass
@@ -223,83 +330,147 @@ class Model:
     bias: float
     threshold: float
     report: dict[str, float]
-    sure: float = SURE
 
     def scores(self, f: Features) -> np.ndarray:
-        return self.bias + np.bincount(f.segment, self.weights[f.slot], minlength=len(f.text))
+        z = np.full(len(f), self.bias)
+        for slot, seg in f.groups:
+            z += np.bincount(seg, self.weights[slot], minlength=len(f))
+        return z
 
 
 def _fit(f: Features, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression by batch gradient steps of per-feature size, with an L2 penalty."""
-    w, bias = np.zeros(1 << BITS), -4.0
-    square = np.full(1 << BITS, 1e-8)
-    square_b = 1e-8
-    for _ in range(ROUNDS):
-        z = bias + np.bincount(f.segment, w[f.slot], minlength=len(f.text))
+    """Logistic regression with an L2 penalty, by gradient steps whose size adapts to each feature."""
+    slot = np.concatenate([s for s, _ in f.groups])
+    seg = np.concatenate([g for _, g in f.groups])
+    used, slot = np.unique(slot, return_inverse=True)
+    w = np.zeros(len(used) + 1)
+    w[-1] = -3.0
+    slope, square = np.zeros(len(w)), np.zeros(len(w))
+    for k in range(1, ROUNDS + 1):
+        z = w[-1] + np.bincount(seg, w[slot], minlength=len(f))
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label)
-        g = np.bincount(f.slot, error[f.segment], minlength=1 << BITS) + PENALTY * w
-        square += g * g
-        np.maximum(w - 0.4 * g / np.sqrt(square), LEAST, out=w)
-        gb = error.sum()
-        square_b += gb * gb
-        bias -= 0.4 * gb / np.sqrt(square_b)
-    return w, bias
-
-
-def train(rows: list[tuple[str, str]]) -> Model:
-    """A model from (host, text) rows; every fifth host is kept out of the fit."""
-    texts, hosts = [], []
+        g = np.append(np.bincount(slot, error[seg], minlength=len(used)) + PENALTY * len(f) * w[:-1], error.sum())
+        slope += 0.1 * (g - slope)
+        square += 0.01 * (g * g - square)
+        step = RATE * (1 - 0.9 * k / ROUNDS) * (slope / (1 - 0.9**k)) / np.sqrt(square / (1 - 0.99**k) + 1e-6)
+        w -= step
+        np.maximum(w[:-1], LEAST, out=w[:-1])
+    whole = np.zeros(1 << BITS, np.float32)
+    whole[used] = w[:-1]
+    return whole, float(w[-1])
+
+
+def _inserted(sentence: str, filled: str, k: int) -> str:
+    """A sentence with one of its words, or two Han characters, replaced."""
+    spots = [m.span() for m in _PLACE.finditer(sentence)] or [(0, 0)]
+    a, b = spots[k % len(spots)]
+    return sentence[:a] + filled + sentence[b:]
+
+
+def _shape_seeds(plain: list[str], languages: tuple[str, ...], part: slice = slice(None)) -> list[str]:
+    """Placeholders for words of harmless sentences: alone, as item, title and table cell, and within such sentences in place of one word."""
+    out, k = [], 0
+    for lang in languages:
+        for shape in SHAPES[lang].split("|")[part]:
+            for _ in range(NAMES):
+                found = _WORD.findall(plain[(k * 53 + 7) % len(plain)]) or ["name"]
+                at = k % len(found)
+                name = ("_", " ", " ")[k % 3].join(found[at : at + 1 + k % 2])
+                filled = shape.replace("%%", "\x01").replace("%S", name.upper()).replace("%s", name).replace("\x01", "%")
+                out += [filled, f"# {filled}", _inserted(f"# {plain[(k * 29 + 5) % len(plain)][:40]}", filled, k + 1), f"| {'_'.join(found[:2])} | {filled} |"]
+                out += [_inserted(plain[(k * 37 + j * 11) % len(plain)], filled, k + j) for j in range(5 if "%" in shape else 40)]
+                k += 1
+    return list(dict.fromkeys(out))
+
+
+def _calm(sentence: str, k: int) -> str:
+    """A harmless sentence in one of the forms that sentences take: with a marked or linked word, as an item, in capitals."""
+    word = (_PLACE.findall(sentence) or ["x"])[k % max(1, len(_PLACE.findall(sentence)))]
+    form = ("{}", "_{}_", "**{}**", "[{}](notes/list.md)", "({})", "\"{}\"", "{}", "{0}_{0}_{0}", "{0}.{0}7")[k % 9]
+    out = _inserted(sentence, form.format(word), k)
+    return out.upper() if k % 5 == 0 else f"# {out}" if k % 5 == 1 else out
+
+
+def train(rows: list[tuple[str, str]], left_out: str | None = None) -> Model:
+    """A model from (host, text) rows; every fifth host is kept out of the fit. `left_out`: a family or language that neither labels nor examples may show, or ``shapes``: every second shape."""
+    texts, unseen = [], []
     for host, text in rows:
         for s in segments(without_code(text)):
             texts.append(s)
-            hosts.append(hash_of(host) % 5 == 0)
-    label = np.array([residue_in(s) for s in texts], bool)
-    unseen = np.array(hosts, bool)
-    seeds = list(_SEED_NOTICES)
-    plain = [s for s, y, u in zip(texts, label, unseen) if not y and not u and "_" in s][:2_000] or ["The owner of x signs the header, and the hub stores busy_shard."]
-    k = 0
-    for shape in _SEED_SHAPES:
-        for name in _SEED_NAMES:
-            filled = shape % name if "%s" in shape else shape.replace("%%", "%")
-            carriers = [plain[(k * 37 + j) % len(plain)] for j in range(3)]
-            seeds += [filled, f"- {filled}", f"# {filled}", f"| x | {filled} |", *(re.sub(r"[a-z]*_[a-z_]*", lambda _, t=filled: t, c, count=1) for c in carriers)]
-            k += 1
-    names = [x for n in _SEED_NAMES for x in (n, f"# {n}", f"- {n}", f"| x | {n} |")]
-    every = [*texts, *seeds, *names]
-    y = np.concatenate([label, np.ones(len(seeds), bool), np.zeros(len(names), bool)])
-    fit = np.concatenate([~unseen, np.ones(len(seeds) + len(names), bool)])
-    used = [s for s, u in zip(every, fit) if u]
-    weight = np.where(y[fit], 10.0, 1.0)
-    w, bias = _fit(features_of_segments(used), y[fit].astype(float), weight)
-    model = Model(w.astype(np.float32), float(bias), 0.0, {})
-    held = [s for s, u in zip(texts, unseen) if u]
-    held_y = label[unseen]
-    z = model.scores(features_of_segments(held)) if held else np.zeros(0)
-    pos = np.sort(z[held_y])
-    model.threshold = float(np.clip(pos[int((1 - KEEP) * len(pos))] - 0.3, LOWEST, -2.0)) if len(pos) else LOWEST
-    model.sure = float(z[~held_y].max() + CLEAR) if (~held_y).sum() >= FEW else SURE
-    said = z > model.threshold
-    hit = float((said & held_y).sum())
+            unseen.append(hash_of(host) % 5 == 0)
+    unseen = np.array(unseen, bool)
+    said = [weak_label(s, left_out) for s in texts]
+    label = np.array([x is True for x in said], bool)
+    plain = [s for s, y, u in zip(texts, said, unseen) if y is None and not u and 5 <= _length(s) <= 40][:2_000] or ["The owner signs the header and the hub stores it."]
+    seeds = [s for key, many in SEEDS.items() if left_out not in key for t in many.split("|") for s in (t, t.upper(), f"# {t}")]
+    if left_out not in ("en", "down", "missing", "denied"):
+        seeds += [form.format(s.value, s.phrase) for s in HTTPStatus if s >= 400 for form in ("{} {}", "HTTP {} {}", "Error {}: {}")]
+    seeds += _shape_seeds(plain, tuple(x for x in _LANGUAGES if x != left_out), slice(0, None, 2) if left_out == "shapes" else slice(None))
+    calm = [_calm(t, k + j) for j in (0, 4) for k, t in enumerate(plain)] + [" ".join(t.split(" ")[k % 3 :][: 3 + k % 4]) for k, t in enumerate(plain)]
+    every = [*texts, *seeds, *HARMLESS, *calm]
+    fixed = len(seeds) + len(HARMLESS)
+    free = np.array([x is None for x in said] + [False] * fixed + [True] * len(calm), bool)
+    y = np.concatenate([label, np.ones(len(seeds), bool), np.zeros(len(HARMLESS) + len(calm), bool)])
+    known = np.array([POSITIVE if x else 1.0 if x is None else SPEAKS if _LETTER.search(s) else 1.0 for x, s in zip(said, texts)] + [SEED] * len(seeds) + [SPEAKS] * len(HARMLESS) + [CALM] * len(calm))
+    weight = np.where(free, known * DOUBT, known)
+    fit = np.concatenate([~unseen, np.ones(len(every) - len(texts), bool)])
+    f = features_of_segments(every)
+    seen = _rows(f, fit)
+    for sure, doubtful in STEPS:
+        w, bias = _fit(seen, y[fit].astype(float), weight[fit])
+        z = Model(w, bias, 0.0, {}).scores(f)
+        # unlabelled segments the fit is sure of become positives, those it doubts are left out
+        own = np.arange(len(every)) < len(texts)
+        y[free & own] = z[free & own] > sure
+        weight[free] = np.where(y[free], POSITIVE / 2, np.where(z[free] > doubtful, 0.0, known[free]))
+    w, bias = _fit(seen, y[fit].astype(float), weight[fit])
+    model = Model(w, bias, THRESHOLD, {})
+    z = model.scores(f)
+    held = np.zeros(len(every), bool)
+    held[: len(texts)] = unseen
+    held &= weight > 0
+    model.threshold = _threshold(z[held], y[held])
+    got = z > model.threshold
+    hit = float((got & held & y).sum())
     model.report = {
-        "segments_fitted": float(len(used)), "segments_unseen": float(len(held)), "positives_unseen": float(held_y.sum()),
-        "recall_unseen": hit / max(1.0, float(held_y.sum())), "precision_unseen": hit / max(1.0, float(said.sum())), "threshold": model.threshold, "sure": model.sure,
+        "segments_fitted": float(fit.sum()), "segments_unseen": float(held.sum()), "positives_unseen": float((held & y).sum()),
+        "recall_unseen": hit / max(1.0, float((held & y).sum())), "precision_unseen": hit / max(1.0, float((got & held).sum())), "threshold": model.threshold,
     }
     return model
 
 
+def _threshold(z: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the thresholds near 0 with the best balance of precision and recall on unseen hosts."""
+    if not y.any() or y.all():
+        return THRESHOLD
+    tries = np.linspace(-REACH, REACH, 61)
+    pos, neg = np.sort(z[y]), np.sort(z[~y])
+    hit = len(pos) - np.searchsorted(pos, tries, side="right")
+    wrong = len(neg) - np.searchsorted(neg, tries, side="right")
+    f1 = 2 * hit / np.maximum(len(pos) + hit + wrong, 1)
+    best = tries[f1 >= f1.max() - 1e-9]
+    return float(np.clip(THRESHOLD, best.min(), best.max()))
+
+
 def hash_of(text: str) -> int:
     import xxhash
 
     return xxhash.xxh3_64_intdigest(text)
 
 
+def _rows(f: Features, keep: np.ndarray) -> Features:
+    number = np.cumsum(keep) - 1
+    return Features([(s[keep[g]], number[g[keep[g]]]) for s, g in f.groups], f.text[keep])
+
+
 def features_of_segments(texts: list[str]) -> Features:
     """Features where each text is one segment: inner breaks are read as blanks."""
-    out = []
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = []
     for low, high in vectext.chunks(texts):
-        f = features([re.sub(r"[\r\n\x00]", " ", s) for s in texts[low:high]])
-        out.append(Features(f.slot, f.text[f.segment] + low, f.text + low))
-    return Features(np.concatenate([f.slot for f in out]), np.concatenate([f.segment for f in out]), np.arange(len(texts)))
+        f = features([re.sub(r"[\r\n\x00]|(?<=[.!?])\s|[。！？](?=.)", " ", s) for s in texts[low:high]])
+        parts.append([(s, (f.text[g] + low).astype(np.int64)) for s, g in f.groups])
+    groups = [(np.concatenate([p[k][0] for p in parts if p]), np.concatenate([p[k][1] for p in parts if p])) for k in range(max(map(len, parts), default=0))]
+    return Features(groups, np.arange(len(texts)))
 
 
 def sample(documents: DataFrame, doc_id: str, text: str, host: str, n: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
@@ -315,9 +486,14 @@ def sample(documents: DataFrame, doc_id: str, text: str, host: str, n: int = SAM
     return [(r.h, r.t) for r in near.orderBy("o", "t").limit(n).collect()]
 
 
-def is_case(model: Model, text: str, score: float) -> bool:
-    """The decision on a text whose best segment has this score."""
-    return score > model.sure or any(residue_in(s) for s in segments(text))
+def score_texts(model: Model, texts: list[str]) -> np.ndarray:
+    """The score of each text's best segment; minus infinity where it has none."""
+    bare = [without_code(t) for t in texts]
+    best = np.full(len(texts), -np.inf)
+    for low, high in vectext.chunks(bare):
+        f = features(bare[low:high])
+        np.maximum.at(best, low + f.text, model.scores(f))
+    return best
 
 
 def residue(documents: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
@@ -325,7 +501,7 @@ def residue(documents: DataFrame, doc_id: str, text: str, host: str) -> DataFram
 
     Null and empty texts, and texts of nothing but code, are no case. Ids that come twice come out once, with the
     higher score. Texts of any length are read whole. Other columns do not matter; an empty table gives an empty
-    result. The fit uses at most `SAMPLE_DOCS` rows; every row is scored and checked.
+    result. The fit uses at most `SAMPLE_DOCS` rows; every row is scored.
     """
     model = train(sample(documents, doc_id, text, host))
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -335,15 +511,38 @@ def residue(documents: DataFrame, doc_id: str, text: str, host: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = [without_code(t) for t in batch.column(1).to_pylist()]
-            for low, high in vectext.chunks(texts):
-                f = features(texts[low:high])
-                z = model.scores(f)
-                best = np.full(high - low, -np.inf)
-                np.maximum.at(best, f.text, z)
-                found = [i for i in range(high - low) if is_case(model, texts[low + i], best[i])]
-                if found:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(low + np.array(found))), pa.array(best[found].astype(np.float64))], names=["doc_id", "score"])
+            best = score_texts(model, batch.column(1).to_pylist())
+            found = np.flatnonzero(best > model.threshold)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found)), pa.array(best[found])], names=["doc_id", "score"])
 
     found = rows.mapInArrow(run, f"doc_id {kind}, score double")
     return found.groupBy("doc_id").agg(F.max("score").alias("score"))
+
+
+def examples(left_out: str) -> list[str]:
+    """The made-up examples of a family or a language, or of every second shape."""
+    if left_out == "shapes":
+        return _shape_seeds(["The owner signs the header and the hub stores it."], _LANGUAGES, slice(1, None, 2))
+    many = [t for key, x in SEEDS.items() if left_out in key for t in x.split("|")]
+    return many + (_shape_seeds(["The owner signs the header and the hub stores it."], (left_out,)) if left_out in _LANGUAGES else [])
+
+
+def validation(documents: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
+    """measure and value: precision and recall on unseen hosts, and for each family and language the recall of a model that has seen neither its labels nor its examples. One task fits one model."""
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast(sample(documents, doc_id, text, host))
+    kinds = [None, "shapes", *_FAMILIES, *_LANGUAGES]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for kind in pdf["kind"]:
+                model = train(shared.value, kind or None)
+                if not kind:
+                    yield pd.DataFrame(sorted(model.report.items()), columns=["measure", "value"])
+                    continue
+                z = model.scores(features_of_segments(examples(kind)))
+                yield pd.DataFrame([(f"recall_left_out_{kind}", float((z > model.threshold).mean()))], columns=["measure", "value"])
+
+    rows = spark.createDataFrame([(k or "",) for k in kinds], "kind string").repartition(len(kinds))
+    return rows.mapInPandas(run, "measure string, value double")
