@@ -42,3 +42,66 @@ def test_rows(spark):
     found = pairs.broken_pairs(df, "result_id", "question", "answer", "status")
     assert sorted(map(tuple, found.withColumnRenamed("key", "id").collect()), key=str) == sorted([(1, "empty"), (3, "empty"), (6, "truncated"), (None, "empty")], key=str)
     assert pairs.broken_pairs(df.limit(0), "result_id", "question", "answer", "status").count() == 0
+
+
+# none of these stands in the tables or was used to choose the parts
+REFUSED = ["I'm sorry, but I can't comply with this request.",
+ "Sorry, I can't do that.",
+ 'I must respectfully refuse.',
+ 'Das kann ich leider nicht sagen.',
+ 'I am not comfortable answering that.',
+ 'As an AI model, I cannot discuss this topic.',
+ "Unfortunately, I won't be able to answer.",
+ "I'm afraid I can't help you with that one.",
+ 'Dazu möchte ich mich nicht äußern.',
+ 'Ich kann Ihnen dabei leider nicht helfen.',
+ 'Je suis désolé, je ne peux pas vous aider.',
+ 'Je préfère ne pas répondre.',
+ 'Lo lamento, no puedo responder a esa pregunta.',
+ 'No estoy autorizado a hablar de eso.',
+ '抱歉，我不能讨论这个话题。',
+ '对不起，我没有权限透露这些信息。',
+ 'We are unable to assist with this.',
+ "I'd rather not say.",
+ 'I have to decline.',
+ 'Me niego a responder.',
+ '这个问题我不便评论。',
+ 'Ich muss diese Bitte ablehnen.',
+ "Il m'est impossible de répondre."]
+SOUND = ['The guide says you are not allowed to discuss quotas in public channels.',
+ 'The hub cannot help the relay.',
+ 'The policy says that staff must refuse such requests.',
+ 'I cannot tell from the cited lines whether the hub waits.',
+ 'The evidence does not say who answers.',
+ 'Der Knoten kann nicht antworten.',
+ 'Le noeud ne peut pas répondre.',
+ 'El nodo no puede responder.',
+ '系统无法提供该字段。',
+ 'The reply "I can\'t help with that" is sent when the token is missing.',
+ 'I would set x to 5; the hub is not able to go lower.',
+ "`I can't help with that`",
+ "You can't answer a closed ticket.",
+ 'I found three sources. The hub declines late writes.']
+
+
+@pytest.mark.parametrize("answer", REFUSED)
+def test_refusals_of_other_wordings_are_found(answer):
+    assert pairs.refuses(answer, pairs.refusal_automaton())
+
+
+@pytest.mark.parametrize("answer", SOUND)
+def test_statements_about_refusing_are_none(answer):
+    assert not pairs.refuses(answer, pairs.refusal_automaton())
+
+
+def test_a_refusal_late_in_a_long_answer_is_none():
+    assert not pairs.refuses("The hub waits. The relay reads. The lease ends. I can't help with that.", pairs.refusal_automaton())
+
+
+def test_copies_ruled_out_early_are_none(spark):
+    rng = random.Random(4)
+    for _ in range(300):
+        q = "".join(rng.choice("abc") for _ in range(rng.randint(1, 60)))
+        a = "".join(rng.choice([q[i : i + rng.randint(1, 20)] for i in range(len(q))] + ["xyz"]) for _ in range(rng.randint(1, 6)))
+        plain = len(a) >= max(8, 0.4 * len(q)) and pairs.SuffixAutomaton(q).matched(a, 8) >= 0.9 * len(a)
+        assert pairs.is_copied(q, a) == plain

@@ -2,7 +2,8 @@
 
 * copied: a suffix automaton of the prompt's letters and digits is walked with the response's; the parts of the
   response matched for at least `LEAST_MATCH` signs are its copied part.
-* refusal: an automaton over all refusal phrases reads the response once.
+* refusal: automata over parts (who speaks, a negated ability or permission, what answering is called) read the first
+  sentences; what others say or may not do, and what is said of the evidence, is none.
 * truncated: a stack of open delimiters (code blocks, brackets, quotes) and the kind of the last line and sign.
 * other language: function words of each language vote, Han characters for Chinese.
 
@@ -36,16 +37,40 @@ LANGUAGE_NAMES = {
     "es": "spanish|espagnol|spanisch|español|espanol|castellano|西班牙文|西班牙语|西班牙語",
     "zh": "chinese|mandarin|chinois|chinesisch|chino|中文|汉语|漢語",
 }
-# Phrases with which an answer is declined, in lower case and without signs.
-REFUSALS = """
-can t help with that|cannot help with|can not help with|can t assist with|cannot assist with|unable to help|unable to assist|unable to answer|not able to answer|not able to help|not able to assist|can t answer this|cannot answer this
-|would rather not answer|rather not say|prefer not to answer|won t be providing an answer|will not be providing an answer|won t answer|something i must decline|i must decline|have to decline|i have to pass on this|falls outside what i may
-|not something i m allowed to|not something i am allowed to|not allowed to discuss|no permission to talk about|not permitted to|can t discuss|cannot discuss|can t provide an answer|cannot provide an answer
-|diese frage nicht beantworten|darf ich dazu nichts sagen|ich darf dazu nichts sagen|diese anfrage muss ich ablehnen|muss ich diese anfrage ablehnen|kann ich nicht beantworten|dabei nicht helfen|dazu keine auskunft|dazu nicht äußern
-|m est interdit d en parler|préfère ne pas me prononcer|ne peux pas répondre à|ne suis pas en mesure de répondre|refuse de répondre|ne peux pas vous aider|ne puis répondre|dois décliner
-|no puedo ayudar con eso|no puedo responder|prefiero no contestar|prefiero no responder|no me está permitido|debo rechazar|no puedo contestar|no estoy autorizado
-|无法回答|不便作答|不予提供|这个请求我不能处理|不能回答这个|没有权限讨论|拒绝回答|不能提供|无可奉告
-""".replace("\n", "").split("|")
+# Parts of a refusal by language: what answering is called, how it is negated, how it is declined outright.
+_ACT = {
+    "en": "help|assist|answer|answering|comply|discuss|discussing|say|tell|talk|comment|commenting|provide|providing|respond|responding|share|sharing|engage|speak|fulfill|do that|do this|do so|go into|weigh in|continue with|give (?:you )?(?:an |any )?(?:answer|information|advice)",
+    "de": "beantworten|antworten|sagen|helfen|weiterhelfen|äußern|auskunft|mitteilen|besprechen|eingehen|kommentieren|sprechen|reden|nachkommen|behilflich sein|antwort geben",
+    "fr": "répondre|aider|prononcer|parler|dire|fournir|commenter|discuter|traiter|renseigner|assister|donner suite|donner de réponse",
+    "es": "ayudar\\w*|responder\\w*|contestar\\w*|hablar|decir\\w*|comentar\\w*|proporcionar\\w*|compartir|discutir|tratar|atender|opinar|dar (?:una )?respuesta",
+    "zh": "回答|作答|提供|讨论|处理|帮助|帮您|帮你|协助|评论|透露|告知|谈论|答复|回应|满足",
+}
+_SELF = "(?:i|we)(?: (?:m|am|are|ve|have|d|would|ll|will|must|do|really|unfortunately|simply|regretfully|respectfully|therefore|just|also|still|sadly|can|may|should|feel|fear|think|believe|need to|have to|going to|and|so|to|afraid(?: that)? i)){0,5}?"
+_NOT = "(?:can t|cannot|can not|could not|couldn t|won t|will not|wouldn t|would not|may not|must not|unable to|not able to|not allowed to|not permitted to|not authori[sz]ed to|not comfortable|not willing to|not going to|not in a position to|don t feel comfortable|do not feel comfortable|uncomfortable|not free to|not at liberty to|rather not|prefer not to|no permission to|not be able to|choose not to|be unable to)"
+_GAP = "(?: \\w+){0,%d}?"
+_MODAL = "(?:kann|darf|möchte|werde|will|könnte|dürfte|können|dürfen|möchten|werden|vermag)"
+REFUSAL = {
+    "en": [
+        rf"{_SELF} {_NOT}{_GAP % 4} (?:{_ACT['en']})", rf"{_SELF}(?: (?:must|have to|need to|will|am going to|respectfully|politely|chose to|choose to))* (?:decline|refuse|pass on|abstain|say no)",
+        rf"(?:{_ACT['en']}){_GAP % 4} (?:is|are) (?:not something|nothing) (?:i|we) (?:m|am|are|can|may|could)", r"(?:outside|beyond|against|exceeds) (?:of )?(?:what|the things|the topics|the scope of what) (?:i|we) (?:may|can|am|m|are|could)",
+        r"(?:something|one|request|question|topic) (?:that )?(?:i|we) (?:must|have to|will|need to) (?:decline|refuse|pass on|leave)",
+    ],
+    "de": [
+        rf"(?:{_MODAL}(?: \w+){{0,2}}? (?:ich|wir)|(?:ich|wir) {_MODAL}){_GAP % 7} (?:nicht|nichts|kein\w*){_GAP % 4} (?:{_ACT['de']})", r"muss(?: \w+){0,2}? (?:ich|wir)(?: \w+){0,5}? (?:ablehnen|verweigern|passen)", r"(?:ich|wir) (?:muss|müssen)(?: \w+){0,6}? (?:ablehnen|verweigern|passen)",
+        r"(?:ich|wir) (?:lehne|lehnen|verweigere|verweigern) (?:\w+ ){0,5}?(?:ab|antwort|auskunft)", r"(?:mir|uns) ist es nicht (?:erlaubt|gestattet|möglich)",
+    ],
+    "fr": [
+        rf"(?:je|nous) (?:ne|n){_GAP % 7} (?:{_ACT['fr']})", r"(?:je|nous) (?:\w+ ){0,2}?(?:refuse|refusons|décline|préfère ne pas|préférons ne pas|dois refuser|dois décliner|m abstiens)", r"(?:m|nous) est (?:interdit|impossible|défendu)", r"(?:je|nous) (?:ne|n) (?:ai|suis|sommes|avons) pas (?:le droit|autorisés?|en mesure)",
+    ],
+    "es": [
+        rf"no (?:me |le |te |lo |les |os |nos )?(?:puedo|podemos|debo|debemos|quiero|deseo|voy a|vamos a|estoy|estamos|tengo|tenemos){_GAP % 5} (?:{_ACT['es']})", rf"no (?:me|nos) (?:está|es) (?:permitido|posible){_GAP % 2} (?:{_ACT['es']})", rf"(?:prefiero|preferimos|elijo) no (?:{_ACT['es']})", r"(?:debo|debemos|tengo que) (?:rechazar|declinar)", r"me niego a|me abstengo de|(?:declino|rechazo) (?:responder|contestar|esta|la)",
+    ],
+    "zh": [rf"(?:我|我们|本助手|恕|抱歉|对不起|很遗憾|不好意思)[^。！？；!?]{{0,12}}?(?:无法|不能|不便|不予|拒绝|没有权限|不可以|无权|不想|不会|不愿)[^。！？；!?]{{0,6}}?(?:{_ACT['zh']})", rf"^\W*(?:无法|不便|恕不)(?:就此|对此)?(?:{_ACT['zh']})", "无可奉告"],
+}
+#: Sentences with which a refusal begins, and the least share of the answer's words it makes up.
+FIRST, SHARE = 2, 0.25
+#: An answer that says what the evidence shows, or does not, is no refusal.
+_EVIDENCE = re.compile(r"\b(?:evidence|excerpts?|passages?|sources?|documents?|cited|citations?|provided|notes|lines|context|auszug|quellen?|belege?n?|zitiert\w*|extraits?|preuves?|pruebas?|fuentes?|fragmentos?|citad\w+)\b|证据|原文|引文|文档|材料")
 # Stand-ins for nothing.
 NOTHING = frozenset("n a|na|null|none|nil|nan|undefined|empty|no answer|tbd|todo|keine|aucune|aucun|ninguna|ninguno|nada|nichts|rien|无|没有|暂无|空".split("|"))
 _CITATION = re.compile(r"\[(?:raw|ref|src|doc|cite|source)?:?\s*[0-9a-f]{6,}\]|\[\^?\d{1,3}\]|【\d+[^】]*】|\[(?:raw|ref|src|doc|cite|source):[^\]\n]*\]", re.I)
@@ -56,6 +81,8 @@ _IDENTIFIER = re.compile(r"[A-Za-z0-9]+(?:[_.][A-Za-z0-9]+)+|[A-Za-z]*\d[A-Za-z0
 _LABEL = re.compile(r"^[\s>*#_]*(?:question|query|prompt|frage|pregunta|问题|提问|q)\s*[:：]", re.I)
 _HAN = re.compile(r"[㐀-䶿一-鿿]")
 _WORDS = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|[。！？]|\n+")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“\n]*“|「[^」\n]*」")
 _ALNUM = re.compile(r"[\W_]+")
 _VOTES: dict[str, list[str]] = {}
 for _lang, _list in STOPWORDS.items():
@@ -120,15 +147,10 @@ class SuffixAutomaton:
         return covered
 
 
-def refusal_automaton():
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for phrase in REFUSALS:
-        spaced = phrase if _HAN.search(phrase) else f" {phrase} "
-        automaton.add_word(spaced, phrase)
-    automaton.make_automaton()
-    return automaton
+def refusal_automaton() -> tuple[re.Pattern, re.Pattern]:
+    """One automaton over the parts of refusals in words of letters, one over those in Han characters."""
+    spaced = "|".join(f"(?:{p})" for k in ("en", "de", "fr", "es") for p in REFUSAL[k])
+    return re.compile(rf"(?<!\w)(?:{spaced})(?!\w)"), re.compile("|".join(REFUSAL["zh"]))
 
 
 def language(text: str) -> str | None:
@@ -162,6 +184,10 @@ def is_copied(question: str, answer: str) -> bool:
     least = min(LEAST_MATCH, 4 if _HAN.search(q) else LEAST_MATCH)
     if not q or len(a) < max(least, 0.4 * len(q)):
         return False
+    # each copied sign lies within `least` signs of one of these matches: few of them rule a copy out before the automaton is built
+    known = {q[i : i + least] for i in range(len(q) - least + 1)}
+    if sum(a[i : i + least] in known for i in range(len(a) - least + 1)) * least < COPIED_SHARE * len(a):
+        return False
     return SuffixAutomaton(q).matched(a, least) >= COPIED_SHARE * len(a)
 
 
@@ -219,8 +245,7 @@ def defect_of(question: str | None, answer: str | None, automaton) -> str | None
     """The one defect of a pair, or null. A missing question leaves copies and languages undecided."""
     if answer is None or is_empty(answer):
         return "empty"
-    spaced = f" {' '.join(_ALNUM.sub(' ', answer).lower().split())} "
-    if refuses(answer, spaced, automaton):
+    if refuses(answer, automaton):
         return "refusal"
     if question:
         if is_copied(question, answer):
@@ -231,12 +256,23 @@ def defect_of(question: str | None, answer: str | None, automaton) -> str | None
     return "truncated" if is_truncated(answer) else None
 
 
-def refuses(answer: str, spaced: str, automaton) -> bool:
-    """A refusal phrase outside code that is not merely quoted in a longer answer."""
-    if next(automaton.iter(spaced), None) is None:
-        return False
-    bare = " ".join(_ALNUM.sub(" ", _CODE_SPAN.sub(" ", _CODE_BLOCK.sub(" ", answer))).lower().split())
-    return next(automaton.iter(f" {bare} "), None) is not None
+def refuses(answer: str, automaton: tuple[re.Pattern, re.Pattern]) -> bool:
+    """Whether one of the first sentences outside code and quotation marks declines in the first person, and makes up enough of the answer."""
+    bare = _QUOTED.sub(" x ", _CODE_SPAN.sub(" x ", _CODE_BLOCK.sub(" ", _CITATION.sub(" ", answer))))
+    sentences = [x for x in _SENTENCE.split(bare) if _ALNUM.sub("", x)]
+    total = None
+    for sentence in sentences[: FIRST + 1]:
+        low = sentence.lower()
+        words = " ".join(_ALNUM.sub(" ", low).split())
+        if not (automaton[1].search(low) if _HAN.search(low) else automaton[0].search(words)):
+            continue
+        if _EVIDENCE.search(low):
+            continue
+        size = lambda t: len(_WORDS.findall(_HAN.sub(" ", t))) + len(_HAN.findall(t))
+        total = total or sum(map(size, sentences))
+        if size(sentence) >= SHARE * total:
+            return True
+    return False
 
 
 def broken_pairs(df: DataFrame, key: str, question: str, answer: str, status: str) -> DataFrame:
