@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. A folder of this machine only where it is unset, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset a folder of this machine, but only if no other machine takes part."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='weftgraph-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -35,10 +38,19 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """`df` written once to the shared folder and read back: lineage ends there, a lost executor loses nothing.
 
-    Columnar and compressed, so later steps read only the columns they use. The files go when the process ends.
+    Columnar and compressed, so later steps read only the columns they use. The files go when `release` is called, or
+    when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Removes the files of a written table no later step reads. Other frames are left alone."""
+    if path := getattr(df, "_written", None):
+        _remove(df.sparkSession, path)
