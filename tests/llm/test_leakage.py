@@ -63,3 +63,11 @@ def test_search_finds_every_window():
         starts, found = patterns.search(words)
         expected = sorted((s, g) for s in range(len(words) - 4) for g in range(len(patterns.grams)) if (words[s : s + 5] == patterns.grams[g]).all())
         assert sorted(zip(starts.tolist(), found.tolist())) == expected
+
+
+def test_blocks_by_signs_find_the_same(spark, monkeypatch):
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(12)], "item_id long, text string")
+    docs = items.selectExpr("item_id as doc_id", "concat('before ', text, ' after') as text")
+    whole = rows(leakage.contaminated(docs, items, "doc_id", "text", "item_id", "text"))
+    monkeypatch.setattr(leakage, "SIGNS_AT_ONCE", 300)
+    assert rows(leakage.contaminated(docs, items, "doc_id", "text", "item_id", "text")) == whole and len(whole) == 12

@@ -43,3 +43,13 @@ def test_null_targets_and_empty_tables(spark):
     assert mixing.mixture(rows, parts).count() == 0
     rows, parts = make(spark, [(1, "a", "x")], [])
     assert mixing.mixture(rows, parts).count() == 0 and mixing.shares(rows, parts).count() == 1
+
+
+def test_sources_in_turn_give_the_same_plan(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} and {'more ' * (i % 17)}", f"s{i % 7}") for i in range(400)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([(f"s{k}", 1 / 7, 3) for k in range(7)], "source string, target_share double, max_repeats int")
+    rows_ = mixing.hashed(docs, "doc_id", "text", "source")
+    whole = mixing.plan(rows_, targets)
+    monkeypatch.setattr(mixing, "SOURCES_AT_ONCE", 2)
+    monkeypatch.setattr(mixing, "PARTS_SENT", 3)
+    assert mixing.plan(rows_, targets) == whole and mixing.mixture(rows_, whole).count() > 0

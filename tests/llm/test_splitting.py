@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from weftgraph.llm import splitting
 
 TEXTS = [
@@ -50,3 +52,10 @@ def test_lines_are_counted_on(spark):
             assert r.start_line is None and r.end_line is None
     assert [(r.start_line, r.end_line) for r in got if r.chunk_id == "g"] == [(3, 4)]
     assert splitting.split_texts(df.limit(0), "chunk_id", "text", "start_line", "end_line").count() == 0
+
+
+def test_lines_of_pieces_are_counted_from_prefix_sums():
+    text = "".join(f"line {i} with some words\n" * (1 + i % 3) for i in range(300))
+    ends = splitting.line_ends(text)
+    for a, b in splitting.pieces(text):
+        assert np.searchsorted(ends, a) == text.count("\n", 0, a) and np.searchsorted(ends, b - 1) == text.count("\n", 0, b - 1)

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm import vectext
 
 WORDS, RUN, SHARE, BLOCK = 5, 15, 0.4, 2
-#: Items searched for at once. The tables sent to the tasks hold no more; further items are searched for in further passes.
-ITEMS_AT_ONCE = 50_000
+#: Items, and signs of their texts, searched for at once: what is sent to the tasks holds about as much; further items are searched for in further passes.
+ITEMS_AT_ONCE, SIGNS_AT_ONCE = 50_000, 8_000_000
 _LANES = 2048
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _HIDDEN = re.compile("[\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff]")
@@ -148,11 +148,13 @@ def contaminated(documents: DataFrame, items: DataFrame, doc_id: str, doc_text:
     A document is a case for an item if it holds at least 15 consecutive words of it, or at least 0.4 of its distinct
     five-word sequences. Null and empty texts, and items of fewer than five words, are no case. Texts of any length
     are searched whole. Repeated ids on either side come out once; ties and other columns do not matter, and an empty
-    table gives an empty result. Items are sent to the tasks `ITEMS_AT_ONCE` at a time.
+    table gives an empty result. Items are sent to the tasks in blocks of about
+    `ITEMS_AT_ONCE` items or `SIGNS_AT_ONCE` signs, whichever is less; every block meets all documents.
     """
     spark = documents.sparkSession
     held = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
-    blocks = 1 + held.count() // ITEMS_AT_ONCE
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("signs")).first()
+    blocks = 1 + max(size.n // ITEMS_AT_ONCE, size.signs // SIGNS_AT_ONCE)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).where("text is not null and text <> ''")
     kind = docs.schema["doc_id"].dataType.simpleString()
     result = None

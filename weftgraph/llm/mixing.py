@@ -3,8 +3,8 @@
 Every document has a 60-bit hash of its id. A source's part is its documents with a hash below a threshold, besides
 whole copies where it must repeat. The threshold is found without sorting: tokens are summed by source and bucket of
 1,024 (the hash's first ten bits); the cumulated sums say in which bucket the budget ends; only that bucket is split
-again by the next ten bits, and so on until it holds one document. The driver holds 1,024 sums for each source in
-the targets, never a row of a document.
+again by the next ten bits, and so on until it holds one document. The driver holds 1,024 sums for each of at most
+`SOURCES_AT_ONCE` sources, never a row of a document.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published splitting pattern of that vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 STEP, LEVELS = 10, 6
-#: Sources the targets may name; the histogram on the driver is bounded by it.
-MOST_SOURCES = 10_000
+#: Sources whose histograms are on the driver at once (1,024 sums each), and parts that are sent to every task; of more the rest follows in turn, or is joined by shuffle.
+SOURCES_AT_ONCE, PARTS_SENT = 1_000, 100_000
 
 
 def count_tokens(documents: DataFrame, keep: list[str], text: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -81,9 +81,7 @@ def _source(c: str):
 
 
 def _targets(targets: DataFrame) -> list[tuple[str, float, int]]:
-    rows = targets.select(_source("source").alias("source"), "target_share", "max_repeats").where("source <> '' and target_share > 0").limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} target sources")
+    rows = targets.select(_source("source").alias("source"), "target_share", "max_repeats").where("source <> '' and target_share > 0").collect()
     best: dict[str, tuple[float, int]] = {}
     for r in rows:
         share, most = best.get(r.source, (0.0, 0))
@@ -94,8 +92,7 @@ def _targets(targets: DataFrame) -> list[tuple[str, float, int]]:
 def plan(rows: DataFrame, targets: DataFrame) -> list[Part]:
     """The parts of the largest mixture that keeps all shares and caps; shares of sources without text go to the others in proportion."""
     wanted = _targets(targets)
-    names = [s for s, _, _ in wanted]
-    mine = rows.where(F.col("source").isin(names) & (F.col("n_tokens") > 0))
+    mine = rows.where("n_tokens > 0").join(_sent(rows.sparkSession, [(s,) for s, _, _ in wanted], "source string"), "source", "left_semi")
     have = {r.source: r.t for r in mine.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     parts = [Part(s, share, most, have.get(s, 0)) for s, share, most in wanted]
     open_ = [p for p in parts if p.tokens > 0 and p.max_repeats > 0]
@@ -110,16 +107,30 @@ def plan(rows: DataFrame, targets: DataFrame) -> list[Part]:
         rest = p.budget - p.copies * p.tokens
         if rest >= 1 and p.copies < p.max_repeats:
             left[p.source] = (p, rest)
-    prefix = {s: 0 for s in left}
+    open_sources = sorted(left)
+    for k in range(0, len(open_sources), SOURCES_AT_ONCE):
+        _thresholds(mine, {s: left[s] for s in open_sources[k : k + SOURCES_AT_ONCE]})
+    return parts
+
+
+def _sent(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver, sent to every task if it is within the bound."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= PARTS_SENT else table
+
+
+def _thresholds(mine: DataFrame, left: dict[str, tuple[Part, float]]) -> None:
+    """Sets threshold and taken of each part: the last hash bound below which its tokens fit what is left of its budget."""
+    prefix = dict.fromkeys(left, 0)
     for level in range(1, LEVELS + 1):
         if not left:
             break
         shift = 60 - STEP * level
         # Only the boundary bucket of each source is read on; all others are decided.
-        inside = F.lit(False)
-        for s in left:
-            inside |= (F.col("source") == s) & (F.shiftright("h", shift + STEP) == (prefix[s] >> STEP if level > 1 else 0))
-        sums = mine.where(inside).groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+        inside = mine.select("source", "n_tokens", "h").join(_sent(mine.sparkSession, [(s, prefix[s] >> STEP) for s in left], "source string, _at long"), "source")
+        if level > 1:
+            inside = inside.where(F.shiftright("h", shift + STEP) == F.col("_at"))
+        sums = inside.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
         by: dict[str, list[tuple[int, int, int]]] = {}
         for r in sums:
             by.setdefault(r.source, []).append((r.b, r.t, r.n))
@@ -139,7 +150,6 @@ def plan(rows: DataFrame, targets: DataFrame) -> list[Part]:
             else:
                 p.threshold = edge[0] << shift
                 prefix[s] = edge[0] << STEP
-    return parts
 
 
 def hashed(documents: DataFrame, doc_id: str, text: str, source: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -156,9 +166,8 @@ def mixture(rows: DataFrame, parts: list[Part]) -> DataFrame:
     """
     if not parts:
         return rows.select("doc_id", "source", "n_tokens", F.lit(0).alias("repeats")).where(F.lit(False))
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(p.source, p.copies, p.threshold) for p in parts], "source string, copies int, threshold long")
-    joined = rows.where("n_tokens > 0").join(F.broadcast(table), "source")
+    table = _sent(rows.sparkSession, [(p.source, p.copies, p.threshold) for p in parts], "source string, copies int, threshold long")
+    joined = rows.where("n_tokens > 0").join(table, "source")
     repeats = F.col("copies") + (F.col("h") < F.col("threshold")).cast("int")
     return joined.select("doc_id", "source", "n_tokens", repeats.alias("repeats")).where("repeats > 0")
 

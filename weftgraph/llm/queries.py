@@ -38,7 +38,8 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks that had to be cut."""
-    return p2_pieces(spark, sf_dir).where("piece = 1").select("chunk_id").distinct()
+    pieces = splitting.split_texts(table(spark, sf_dir, "chunks"), "chunk_id", "text", "start_line", "end_line", once=False)
+    return pieces.where("piece = 1").select("chunk_id").distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

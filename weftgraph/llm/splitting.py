@@ -76,18 +76,25 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
         start = max(start + 1, back if back is not None else _hard(text, aim, start))
 
 
-def split_texts(df: DataFrame, key: str, text: str, start_line: str, end_line: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def line_ends(text: str) -> np.ndarray:
+    """Sorted offsets of the line ends: as many lie before an offset as lines were left behind there."""
+    return np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") == 10)
+
+
+def split_texts(df: DataFrame, key: str, text: str, start_line: str, end_line: str, limit: int = LIMIT, overlap: int = OVERLAP, once: bool = True) -> DataFrame:
     """Pieces of each text: key, piece (from 0), n_pieces, start_char, end_char, start_line, end_line, text.
 
     A text of at most `limit` characters (Unicode code points) is one piece. Lines are counted from the row's start
     line; where that is exchanged with the end line the smaller counts, and where it is null or below 1 the lines are
     null. Null and empty texts have no piece. Rows that come twice come out once; two texts of one key are both split.
-    Other columns are not read. Work is by row, without a shuffle but that of the repeated rows.
+    Other columns are not read. Work is by row, without a shuffle but that of the repeated rows; with `once` off they
+    come out again and nothing is shuffled.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be at least 0 and less than half the limit")
     first = F.when(F.col(end_line) >= 1, F.least(F.col(start_line), F.col(end_line))).otherwise(F.col(start_line))
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.when(F.col(start_line) >= 1, first).cast("int").alias("line")).where("text is not null and text <> ''").distinct()
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.when(F.col(start_line) >= 1, first).cast("int").alias("line")).where("text is not null and text <> ''")
+    rows = rows.distinct() if once else rows
     kind = rows.schema["key"].dataType
     schema = f"key {kind.simpleString()}, piece int, n_pieces int, start_char long, end_char long, start_line int, end_line int, text string"
 
@@ -97,10 +104,11 @@ def split_texts(df: DataFrame, key: str, text: str, start_line: str, end_line: s
             at = []
             for i, (t, line) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 cuts = pieces(t, limit, overlap)
+                ends = None if line is None else line_ends(t)
                 for k, (a, b) in enumerate(cuts):
                     at.append(i)
-                    low = None if line is None else line + t.count("\n", 0, a)
-                    for col, v in zip(rows[1:], (k, len(cuts), a, b, low, None if line is None else line + t.count("\n", 0, b - 1), t[a:b])):
+                    low, high = (None, None) if line is None else (line + int(np.searchsorted(ends, a)), line + int(np.searchsorted(ends, b - 1)))
+                    for col, v in zip(rows[1:], (k, len(cuts), a, b, low, high, t[a:b])):
                         col.append(v)
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
             names = ["key", "piece", "n_pieces", "start_char", "end_char", "start_line", "end_line", "text"]
