@@ -1,9 +1,11 @@
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from weftgraph.sources import documents, schemas
 from weftgraph.streaming import incremental
+from weftgraph.streaming.incremental import Generations
 
 U1, U2 = "11111111-1111-5111-8111-111111111111", "22222222-2222-5222-8222-222222222222"
 
@@ -92,3 +94,30 @@ def test_deliveries_windows_and_leases(spark, tmp_path):
     assert out.granted.tolist() == [True, False, True, False, True, True, True]
     log = spark.createDataFrame([("r", "queued", 1), ("r", "planning", 2), ("r", "published", 3)], "run string, state string, at int")
     assert rows(incremental.illegal_transitions(log, "run", "state", "at").select("before", "after")) == [("planning", "published")]
+
+
+def test_a_run_that_breaks_off_keeps_the_last_generation(spark, tmp_path):
+    folder = f"file://{tmp_path}/gens"
+    g = Generations(spark, folder)
+    assert g.current() is None
+    assert g.publish(spark.range(3), 0, "a") == 0 and g.publish(spark.range(4), 1, "b") == 1
+    (tmp_path / "gens" / ".CURRENT-2.x").write_text("{")  # stopped before the rename
+    (tmp_path / "gens" / "gen=2").mkdir()
+    again = Generations(spark, folder)
+    assert again.current()["generation"] == 1 and again.read().count() == 4
+    assert again.publish(spark.range(5), 2, "c") == 2 and again.read().count() == 5
+    assert again.publish(spark.range(9), 1, "b") == 2 and again.read().count() == 5  # a repeated batch changes nothing
+    with pytest.raises(ValueError):
+        again.publish(spark.range(9), 2, "other")
+
+
+def test_an_invalid_generation_is_not_published(spark, tmp_path):
+    def check(df):
+        if df.count() < 2:
+            raise ValueError("too few rows")
+
+    g = Generations(spark, f"file://{tmp_path}/gens", check)
+    g.publish(spark.range(3), 0)
+    with pytest.raises(ValueError):
+        g.publish(spark.range(1), 1)
+    assert g.current()["generation"] == 0 and g.read().count() == 3

@@ -3,6 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from weftgraph.functions.text import squeeze, squeeze_fast
+from weftgraph.operators import snapshots
 from weftgraph.operators.snapshots import consecutive_pairs, diff_snapshots, digest_rows
 
 
@@ -33,3 +35,21 @@ def test_contents_swapped_between_keys_are_seen(spark):
     df = spark.createDataFrame([("o", "k1", "x"), ("o", "k2", "y"), ("n", "k1", "y"), ("n", "k2", "x")], "f string, id string, a string")
     pairs = spark.createDataFrame([("p", "n", "o")], "pair string, new string, old string")
     assert rows(diff_snapshots(digest_rows(df, F.col("f"), "id", ["a"]), pairs)) == [("p", "k1", "changed"), ("p", "k2", "changed")]
+
+
+def test_deep_trees_and_versions_with_two_snapshots(spark, monkeypatch):
+    monkeypatch.setattr(snapshots, "LEAF_ROWS", 1)
+    monkeypatch.setattr(snapshots, "STEP_BITS", 3)
+    data = [("a", f"k{i}", str(i)) for i in range(300)] + [("b", f"k{i}", str(i + (i % 50 == 0))) for i in range(5, 310)] + [("c", f"k{i}", str(i)) for i in range(300)] + [("d", "k1", "other")]
+    df = spark.createDataFrame(data, "snap string, id string, v string")
+    pairs = spark.createDataFrame([("v", "b", "a"), ("v", "c", "a"), ("w", "c", "a"), ("x", "d", "a"), ("y", "none", "a")], "pair string, new string, old string")
+    got = {tuple(r) for r in snapshots.diff_snapshots(snapshots.digest_rows(df, F.col("snap"), "id", ["v"]), pairs).collect()}
+    v = {("v", f"k{i}", "removed") for i in range(5)} | {("v", f"k{i}", "added") for i in range(300, 310)} | {("v", f"k{i}", "changed") for i in range(50, 300, 50)}
+    x = {("x", f"k{i}", "removed") for i in range(300) if i != 1} | {("x", "k1", "changed")}
+    assert got == v | x
+
+
+def test_squeezing_fast_equals_squeezing(spark):
+    texts = ["a b", " a  b ", "a\tb", "\x1fa", "é  x", "é x", "", None, "a b ", "　a", "x\x85y", "\x0b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(squeeze_fast(F.col("t")).alias("a"), squeeze(F.col("t")).alias("b"))
+    assert all(r.a == r.b for r in df.collect())

@@ -4,36 +4,20 @@ A mergeable aggregate of sorted, disjoint intervals, combined in a reduction tre
 
 1. (key, start) keeps the greatest end. A hash aggregate with map-side combine and one number of state, so a key
    with a third of all rows is reduced before it is shuffled; for equal starts only the greatest end matters.
-2. (key, block of `FINE` lines) folds its at most `FINE` starts into a sorted disjoint list.
-3. (key, block of `COARSE` lines) merges the lists of its blocks linearly; still at most `COARSE` / 2 intervals.
-4. The coarse lists are stitched by running windows that carry the greatest end so far. Windows spill, and no list
-   ever grows with the rows of a key.
+2. In each (key, block of `BLOCK` lines) the starts are sorted once; a start beyond the greatest end so far begins an
+   island. The islands of a block are its sorted disjoint list, of at most `BLOCK` / 2 intervals.
+3. The lists are merged along the key by running windows that carry the greatest end of the blocks before: what a list
+   adds to it is cut out in one pass. Windows spill, and no list ever grows with the rows of a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FINE = 256
-COARSE = 4096
-_LIST = "array<struct<s:bigint,e:bigint>>"
-
-
-def merge_sorted(intervals: Column) -> Column:
-    """Linear merge of intervals sorted by start into disjoint ones; spans that touch become one."""
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(
-            F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
-            F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))),
-        )
-        return F.when(x["s"] <= last["e"] + 1, joined).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(intervals, F.array().cast(_LIST), step)
+BLOCK = 4096
 
 
 def covered_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
@@ -52,15 +36,15 @@ def covered_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -
     for k in ks:
         valid &= F.col(k).isNotNull()
     starts = named.where(valid).groupBy(*ks, "s").agg(F.max("e").alias("e"))
-    item = F.struct("s", "e")
-    fine = starts.groupBy(*ks, F.floor(F.col("s") / FINE).alias("fine")).agg(merge_sorted(F.array_sort(F.collect_list(item))).alias("xs"))
-    coarse = fine.groupBy(*ks, F.floor(F.col("fine") / (COARSE // FINE)).alias("block")).agg(
-        merge_sorted(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("fine", "xs"))), lambda p: p["xs"]))).alias("xs")
-    )
+    within = Window.partitionBy(*ks, "block").orderBy("s")
+    before = F.max("e").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    marked = starts.withColumn("block", F.floor(F.col("s") / BLOCK)).withColumn("begins", F.coalesce((F.col("s") > before + 1).cast("int"), F.lit(1)))
+    islands = marked.withColumn("island", F.sum("begins").over(within)).groupBy(*ks, "block", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    lists = islands.groupBy(*ks, "block").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("xs"))
     down = Window.partitionBy(*ks).orderBy("block")
     up = Window.partitionBy(*ks).orderBy(F.col("block").desc())
     top = F.element_at("xs", -1)["e"]
-    carried = coarse.withColumn("carry", F.max(top).over(down.rowsBetween(Window.unboundedPreceding, -1)))
+    carried = lists.withColumn("carry", F.max(top).over(down.rowsBetween(Window.unboundedPreceding, -1)))
     fresh = carried.withColumn("new", F.filter("xs", lambda x: F.col("carry").isNull() | (x["s"] > F.col("carry") + 1)))
     # where the stretch that is open at the block's start ends: intervals of the block that only continue it may prolong it
     held = F.filter("xs", lambda x: x["s"] <= F.col("carry") + 1)

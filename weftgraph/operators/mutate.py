@@ -179,7 +179,7 @@ def delete_sources(sources: DataFrame, gone: DataFrame) -> DataFrame:
 
 def move_documents(table: DataFrame, moves: DataFrame) -> DataFrame:
     """Rows of any table with a file_path, with the paths of `moves` (old_path, new_path) renamed; a moved path keeps its rows."""
-    joined = table.join(F.broadcast(moves.select(F.col("old_path").alias("file_path"), "new_path")), "file_path", "left")
+    joined = table.join(moves.select(F.col("old_path").alias("file_path"), "new_path"), "file_path", "left")
     return joined.select(*[F.coalesce("new_path", "file_path").alias(c) if c == "file_path" else F.col(c) for c in table.columns])
 
 
@@ -320,7 +320,7 @@ def split_nodes(nodes: DataFrame, sources: DataFrame, parts: DataFrame, uuid: Co
 def move_subdomains(nodes: DataFrame, moves: DataFrame) -> DataFrame:
     """Nodes of (from_domain, from_subdomain) put into (to_domain, to_subdomain): merging and demoting."""
     m = moves.select(F.col("from_domain").alias("domain"), F.col("from_subdomain").alias("subdomain"), "to_domain", "to_subdomain")
-    joined = nodes.join(F.broadcast(m), ["domain", "subdomain"], "left")
+    joined = nodes.join(m, ["domain", "subdomain"], "left")
     return joined.select(*[F.coalesce(f"to_{c}", c).alias(c) if c in ("domain", "subdomain") else F.col(c) for c in nodes.columns])
 
 

@@ -7,17 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 200_000
+#: Least rows of a hot key, and the most keys that may count as hot: what is broadcast never grows beyond it.
+HOT_ROWS, MOST_HOT = 200_000, 10_000
 
 
 def hot_split_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """``left`` left-joined with ``right``, whose keys are unique; both may hold nulls, which match nothing.
 
-    Keys with at least `hot_rows` rows on the left are joined by broadcast: there are at most rows / `hot_rows` of
-    them, whatever the data. The others are shuffled on the key. No row is dropped or repeated.
+    Keys with at least `hot_rows` rows on the left, and with at least one in `MOST_HOT` of all rows, are joined by
+    broadcast: there are at most `MOST_HOT` of them, whatever the data. The others are shuffled on the key. No row is
+    dropped or repeated.
     """
     on = list(on)
-    counts = left.where(F.col(on[-1]).isNotNull()).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= hot_rows).drop("_rows")
+    every = left.where(F.col(on[-1]).isNotNull()).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    total = F.broadcast(every.agg(F.sum("_rows").alias("_total")))  # one row
+    counts = every.where(F.col("_rows") >= hot_rows).join(total, F.lit(True)).where(F.col("_rows") >= F.col("_total") / MOST_HOT).drop("_rows", "_total")
     hot = F.broadcast(counts.withColumn("_hot", F.lit(True)))
     extra = [c for c in right.columns if c not in on]
     marked = left.join(hot, on, "left")

@@ -67,12 +67,15 @@ def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.unionByName(cross).unionByName(sources)
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References to nodes that are missing or came only later, by table and month."""
+def _node_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "nodes").select(F.lit("nodes").alias("parent_table"), node_key(F.col("id")).alias("key"), F.col("created_at").alias("since"))
     found = orphan_cascade(_references(spark, sf_dir), nodes, {"edges": "nodes", "cross_references": "nodes", "node_sources": "nodes"})
-    period = F.coalesce(F.date_format("ref_time", "yyyy-MM"), F.lit("unknown"))
-    return found.select("ref_table", "ref_key", "state", period.alias("period")).distinct()
+    return found.withColumn("period", F.coalesce(F.date_format("ref_time", "yyyy-MM"), F.lit("unknown")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to nodes that are missing or came only later, by table and month."""
+    return _node_orphans(spark, sf_dir).select("ref_table", "ref_key", "state", "period").distinct()
 
 
 P4_FOUND = f"""
@@ -90,11 +93,12 @@ WHERE refs.key IS NOT NULL AND refs.key <> '' AND (known.key IS NULL OR since >
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing and late references per table and month."""
-    return p4_found(spark, sf_dir).groupBy("ref_table", "period", "state").agg(F.count(F.lit(1)).alias("n_refs"))
+    """Missing and late references per table, month and kind: no table refers to one of these, so each orphan is a direct one."""
+    once = _node_orphans(spark, sf_dir).select("ref_table", "ref_key", "state", "period", "kind").distinct()
+    return once.groupBy("ref_table", "period", "state", "kind").agg(F.count(F.lit(1)).alias("n_refs"))
 
 
-P4_REPORT = f"SELECT ref_table, period, state, count(*) AS n_refs FROM ({P4_FOUND}) GROUP BY ref_table, period, state"
+P4_REPORT = f"SELECT ref_table, period, state, 'direct' AS kind, count(*) AS n_refs FROM ({P4_FOUND}) GROUP BY ref_table, period, state"
 
 
 def p4_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

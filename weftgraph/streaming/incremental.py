@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,46 +31,61 @@ def windowed(stream: DataFrame, time: str, key: str, value: str, width: str = "1
 
 
 class Generations:
-    """A folder of immutable generations ``gen=<n>`` and a pointer file that names the current one."""
+    """A folder of immutable generations ``gen=<n>`` and one pointer file ``CURRENT-<n>`` for each that is complete.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    A pointer appears by one rename, after its generation is written; the greatest one is current. Nothing is deleted
+    before something else is published, so whatever step a run breaks off at, the last complete generation stays current.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, check: Callable[[DataFrame], None] | None = None) -> None:
+        """`check` may raise on a new generation: it is then not published."""
+        self.spark, self.folder, self.check = spark, folder.rstrip("/"), check
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _text(self, name: str) -> str | None:
-        p = self._path(f"{self.folder}/{name}")
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._path(f"{self.folder}/{name}"))
         try:
             return bytes(b & 255 for b in stream.readAllBytes()).decode()
         finally:
             stream.close()
 
+    def _published(self) -> list[int]:
+        if not self._fs.exists(self._path(self.folder)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.folder))]
+        return sorted(int(x.removeprefix("CURRENT-")) for x in names if re.fullmatch(r"CURRENT-\d+", x))
+
     def current(self) -> dict | None:
-        """What is published: generation and the batch that made it."""
-        found = self._text("CURRENT")
-        return None if found is None else json.loads(found)
+        """What is published: generation, the batch that made it and the fingerprint of its input."""
+        found = self._published()
+        return json.loads(self._text(f"CURRENT-{found[-1]}")) if found else None
 
     def read(self) -> DataFrame | None:
         now = self.current()
         return None if now is None else self.spark.read.parquet(f"{self.folder}/gen={now['generation']}")
 
-    def publish(self, df: DataFrame, batch: int) -> int:
-        """`df` as the next generation; a batch that was published before changes nothing."""
+    def publish(self, df: DataFrame, batch: int, fingerprint: str | None = None) -> int:
+        """`df` as the next generation; a batch that was published before changes nothing, and is an error if it comes with another fingerprint."""
+        for n in reversed(self._published()):
+            seen = json.loads(self._text(f"CURRENT-{n}"))
+            if seen["batch"] == batch and fingerprint is not None and seen.get("fingerprint") not in (None, fingerprint):
+                raise ValueError(f"batch {batch} was published with other input")
+            if batch >= seen["batch"]:
+                break
         now = self.current()
         if now is not None and batch <= now["batch"]:
             return now["generation"]
         n = 0 if now is None else now["generation"] + 1
         df.write.mode("overwrite").parquet(f"{self.folder}/gen={n}")  # what a run that broke off left is replaced
-        staged, target = self._path(f"{self.folder}/CURRENT.new"), self._path(f"{self.folder}/CURRENT")
+        if self.check is not None:
+            self.check(self.spark.read.parquet(f"{self.folder}/gen={n}"))
+        staged = self._path(f"{self.folder}/.CURRENT-{n}.{uuid.uuid4().hex}")
         out = self._fs.create(staged, True)
-        out.write(bytearray(json.dumps({"generation": n, "batch": batch}).encode()))
+        out.write(bytearray(json.dumps({"generation": n, "batch": batch, "fingerprint": fingerprint}).encode()))
         out.close()
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        self._fs.rename(staged, target)
+        if not self._fs.rename(staged, self._path(f"{self.folder}/CURRENT-{n}")):
+            raise RuntimeError(f"generation {n} was published by another writer")
         return n
 
 
