@@ -92,8 +92,9 @@ def test_deliveries_windows_and_leases(spark, tmp_path):
     asks = pd.DataFrame([("r", "x", "acquire", 0, 10), ("r", "y", "acquire", 5, 10), ("r", "x", "renew", 9, 10), ("r", "x", "renew", 30, 10), ("r", "y", "acquire", 31, 10), ("r", "y", "release", 32, 0), ("r", "x", "acquire", 33, 5)], columns=["resource", "holder", "action", "at", "ttl"])
     out = next(incremental.lease(("r",), iter([asks]), State()))
     assert out.granted.tolist() == [True, False, True, False, True, True, True]
-    log = spark.createDataFrame([("r", "queued", 1), ("r", "planning", 2), ("r", "published", 3)], "run string, state string, at int")
-    assert rows(incremental.illegal_transitions(log, "run", "state", "at").select("before", "after")) == [("planning", "published")]
+    log = spark.createDataFrame([("r", "Idle", 1), ("r", "FetchSource", 2), ("r", "FetchSource", 3), ("r", "Plan", 4), ("r", "UploadCandidate", 5), ("s", "Stable", 1), ("s", "Idle", 2)], "run string, state string, at int")
+    assert rows(incremental.illegal_transitions(log, "run", "state", "at").select("before", "after")) == [("Plan", "UploadCandidate"), ("Stable", "Idle")]
+    assert len(set(incremental.STATES)) == 20
 
 
 def test_a_run_that_breaks_off_keeps_the_last_generation(spark, tmp_path):

@@ -56,3 +56,10 @@ def expand_abbreviations(query: str, known: dict[str, str]) -> str:
 
 def rewrite(query: str, known: dict[str, str] | None = None) -> str:
     return " ".join(expand_abbreviations(query, known or {}).split())
+
+
+def expand_words(c: Column, known: dict[str, str]) -> Column:
+    """`expand_abbreviations` on a column."""
+    for k in sorted((k for k in known if re.fullmatch(r"[A-Za-z0-9]+", k)), key=lambda k: (-len(k), k)):
+        c = F.regexp_replace(c, rf"(?<![A-Za-z0-9]){re.escape(k)}(?![A-Za-z0-9])", known[k].replace("\\", "\\\\").replace("$", "\\$"))
+    return c

@@ -74,6 +74,29 @@ def repository_identity(url: Column) -> Column:
 def table_identity(df, columns: list[str] | None = None):
     """One row with the digest of a table's rows, whatever their order: hashes are combined, never gathered."""
     columns = columns or df.columns
-    row = F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
-    h1, h2 = F.xxhash64(row), F.xxhash64(F.lit("second"), row)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2"), F.sum(F.pmod(h1, F.lit(1 << 31))).alias("s1")).select("n", F.sha2(F.concat_ws("|", "n", "x1", "x2", "s1"), 256).alias("digest"))
+    row = F.md5(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}))
+    part = lambda k: F.conv(F.substring(row, k, 15), 16, 10).cast("long")
+    sums = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(part(1)).alias("x1"), F.bit_xor(part(16)).alias("x2"), F.sum(F.pmod(part(1), F.lit(1 << 31))).alias("s1"))
+    return sums.select("n", F.sha2(F.concat_ws("|", "n", "x1", "x2", "s1"), 256).alias("digest"))
+
+
+def rfc3339_nano(ts: Column) -> Column:
+    """A time as a version stamp: with as many digits of the second as are not zero, in UTC."""
+    text = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.regexp_replace(text, r"\.?0+$", ""), F.lit("Z"))
+
+
+def djb2(c: Column) -> Column:
+    """The djb2 hash of a text's characters, modulo 2^32."""
+    mask = F.lit(0xFFFFFFFF).cast("long")
+    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(5381).cast("long"), lambda h, x: (h * 33 + _code(x)).bitwiseAND(mask))
+
+
+def canonical_json(*columns: str) -> Column:
+    """The columns as one compact JSON object with sorted keys; nulls are kept."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def relation_hash(source: Column, target: Column, kind: Column, description: Column) -> Column:
+    """The identity of a relation: the SHA-256 of its fields as a JSON list."""
+    return F.sha2(F.to_json(F.array(*[F.coalesce(c, F.lit("")) for c in (source, target, kind, description)])), 256)

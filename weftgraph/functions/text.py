@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 #: Every character that counts as a blank (tabs, line ends, separators of any kind).
 BLANK = r"\x09-\x0d\x1c-\x20\x85\p{Z}"
@@ -63,3 +69,32 @@ def node_key(c: Column) -> Column:
 def slug(c: Column) -> Column:
     """Letters lower-cased, digits kept, any other run one hyphen, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]+", "-"), r"^-+|-+$", "")
+
+
+@pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()))
+
+
+def fold_compatible(c: Column) -> Column:
+    """Compatibility forms composed, case folded, runs of blanks as one; plain ASCII stays in the JVM."""
+    plain = F.octet_length(c) == F.char_length(c)
+    return squeeze(F.when(plain, F.lower(c)).otherwise(_nfkc(c)))
+
+
+@pandas_udf(T.BooleanType())
+def strict_object(texts: pd.Series) -> pd.Series:
+    """Whether a text is one JSON object in which no key comes twice, at any depth; null stays null."""
+
+    def once(pairs: list) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("a key comes twice")
+        return dict(pairs)
+
+    def sound(t: str) -> bool:
+        try:
+            return isinstance(json.loads(t, object_pairs_hook=once), dict)
+        except ValueError:
+            return False
+
+    return texts.map(lambda t: None if t is None else sound(t))

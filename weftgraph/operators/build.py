@@ -231,3 +231,49 @@ def mask_ids(rows: DataFrame, text: str) -> DataFrame:
     pairs = F.transform(found, lambda u, i: F.struct(u.alias("u"), F.concat(F.lit("u"), (i + 1).cast("string")).alias("a")))
     masked = F.aggregate(pairs, F.col(text), lambda t, p: F.regexp_replace(t, F.concat(F.lit("(?i)"), p["u"]), p["a"]))
     return rows.withColumns({"masked": masked, "aliases": F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["a"], p["u"])))})
+
+
+def normalize_span(start: Column, end: Column) -> dict[str, Column]:
+    """Start and end where 1 <= start <= end, else null."""
+    ok = (start >= 1) & (end >= start)
+    return {"start_line": F.when(ok, start), "end_line": F.when(ok, end)}
+
+
+def persisted_name(c: Column) -> Column:
+    """A name without outer blanks; null where nothing is left or a control or format sign is in it."""
+    name = strip(c)
+    return F.when((name != "") & ~name.rlike(r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]"), name)
+
+
+def persisted_summary(c: Column) -> Column:
+    """A text without blanks at line ends and without empty lines at its end; what stands before a line stays."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?m)[ \t\r]+$", ""), r"\n+\z", "")
+
+
+def without_fence(c: Column) -> Column:
+    """The content of a text that is one fenced block; another text as it is."""
+    return F.regexp_replace(strip(c), r"(?s)\A```\w*\s*|\s*```\z", "")
+
+
+def first_non_blank(*columns: Column) -> Column:
+    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in columns])
+
+
+def incidence_coverage(units: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: incidences (skill, file_path, unit_id) and units, how many of each a node has as member. members: unit_id."""
+    own = units.select("skill", "file_path", "unit_id").distinct().join(members.select("unit_id").distinct().withColumn("hit", F.lit(1)), "unit_id", "left")
+    return own.agg(F.count(F.lit(1)).alias("incidences"), F.count("hit").alias("covered_incidences"), F.count_distinct("unit_id").alias("units"), F.count_distinct(F.when(F.col("hit") == 1, F.col("unit_id"))).alias("covered_units"))
+
+
+def alignment_gaps(units: DataFrame, decisions: DataFrame) -> DataFrame:
+    """unit_id and state of units whose decision is missing or that are decided more than once, and of decisions without a unit."""
+    many = decisions.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"))
+    both = units.select("unit_id").distinct().withColumn("_unit", F.lit(True)).join(many, "unit_id", "full")
+    state = F.when(F.col("_unit").isNull(), "unknown").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated")
+    return both.withColumn("state", state).where("state is not null").select("unit_id", "state")
+
+
+def parse_extraction(rows: DataFrame, key: str, text: str, item: str) -> DataFrame:
+    """key, pos and the fields of each sound item of the JSON list ``nodes`` of a text: items without an id are dropped one by one, a text that is no JSON gives nothing, others stay."""
+    parsed = F.from_json(F.when(F.try_parse_json(F.col(text)).isNotNull(), F.col(text)), f"nodes array<struct<{item}>>")["nodes"]
+    return rows.select(F.col(key).alias("key"), F.posexplode(parsed).alias("pos", "item")).select("key", "pos", "item.*").where("coalesce(trim(id), '') <> ''")

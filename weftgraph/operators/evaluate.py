@@ -100,3 +100,16 @@ def shingle_classes(rows: DataFrame, key: str, text: str, width: int = 5) -> Dat
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(width)), " "))))
     hashed = own.select("id", F.array_sort(grams).alias("shingles"))
     return hashed.withColumn("class_id", F.min("id").over(Window.partitionBy(F.xxhash64("shingles"), F.size("shingles"))))
+
+
+def overlap_at(gold: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
+    """qid and overlap: the share of the first `k` hits that are gold, of at most `k` and at least one."""
+    first = hits.where(F.col("rank") <= k).select("qid", "doc").distinct()
+    met = first.join(gold.select("qid", "doc").distinct().withColumn("_g", F.lit(1)), ["qid", "doc"], "left")
+    return met.groupBy("qid").agg(F.round(F.count("_g") / F.greatest(F.count(F.lit(1)), F.lit(1)), 9).alias("overlap"))
+
+
+def event_summary(events: DataFrame, group: str, failed: Column, empty: Column, seconds: str) -> DataFrame:
+    """Of each group: events, share of failed and of empty ones, mean and greatest time of those that did not fail."""
+    ok = F.when(~failed, F.col(seconds))
+    return events.groupBy(group).agg(F.count(F.lit(1)).alias("n_events"), F.round(F.avg(failed.cast("double")), 9).alias("error_rate"), F.round(F.avg(empty.cast("double")), 9).alias("empty_rate"), F.round(F.avg(ok), 6).alias("mean_seconds"), F.max(ok).alias("max_seconds"))

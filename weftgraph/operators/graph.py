@@ -269,3 +269,24 @@ def _quality(graph: DataFrame, label: DataFrame, total: int) -> int:
     inside = graph.join(a, "u").join(b, "v").where("_u = _v").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     tot = label.groupBy("community").agg(F.sum("k").alias("tot"))
     return inside * total - int(tot.agg(F.sum((F.col("tot") * F.col("tot")).cast("decimal(38,0)"))).first()[0])
+
+
+def subgraph(found: DataFrame, reported: DataFrame) -> DataFrame:
+    """qid, part (``entity`` or ``relation``), id and hop of a search's result: a relation's hop is that of its farther end; entities come before relations, each by hop."""
+    depth = lambda c: found.select("qid", F.col("id").alias(c), F.col("depth").alias(f"_{c}"))
+    entities = found.select("qid", F.lit(0).alias("ord"), F.lit("entity").alias("part"), "id", F.col("depth").alias("hop"))
+    joined = reported.select("qid", "edge_id", "source_id", "target_id").join(depth("source_id"), ["qid", "source_id"], "left").join(depth("target_id"), ["qid", "target_id"], "left")
+    relations = joined.select("qid", F.lit(1).alias("ord"), F.lit("relation").alias("part"), F.col("edge_id").cast("string").alias("id"), F.greatest("_source_id", "_target_id").alias("hop"))
+    return entities.unionByName(relations)
+
+
+def node_parts(c: str) -> list:
+    """domain, subdomain and name of an id of the form ``domain::subdomain::name``; an id of another form is a name alone."""
+    parts = F.split(c, "::")
+    full = F.size(parts) >= 3
+    return [F.when(full, parts[0]).alias("domain"), F.when(full, parts[1]).alias("subdomain"), F.when(full, parts[2]).otherwise(F.col(c)).alias("name")]
+
+
+def node_id(domain: str, subdomain: str, name: str):
+    """The id that `node_parts` reads."""
+    return F.concat_ws("::", domain, subdomain, name)

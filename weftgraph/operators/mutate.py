@@ -334,3 +334,103 @@ def empty_subdomains(nodes: DataFrame) -> DataFrame:
     """Subdomain nodes with no entity or concept left in them."""
     used = nodes.where(F.col("label").isin(*CONTENT_LABELS)).select("domain", "subdomain").distinct()
     return nodes.where(F.col("label") == "Subdomain").join(used, ["domain", "subdomain"], "left_anti").select("id")
+
+
+def insert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """`edges` with `new`, in which parallel edges may come; columns that are missing are null."""
+    return edges.unionByName(new, allowMissingColumns=True)
+
+
+def delete_references(refs: DataFrame, entities: DataFrame) -> DataFrame:
+    """Cross references without those to the given target entities."""
+    return refs.join(entities.select("target_entity").distinct(), "target_entity", "left_anti")
+
+
+def missing_decisions(conflicts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Ids of decisions on reports that do not exist (which the writer refuses)."""
+    return decisions.select("id").join(conflicts.select("id"), "id", "left_anti").distinct()
+
+
+def set_manifest(manifest: DataFrame, changes: DataFrame) -> DataFrame:
+    """key and value: those of `changes` (one row per key) replace or join the others."""
+    return manifest.select("key", "value").join(changes.select("key"), "key", "left_anti").unionByName(changes.select("key", "value"))
+
+
+def drop_states(states: DataFrame, repo_url: str, file_path: str) -> DataFrame:
+    """File states without that of one file."""
+    return states.where(~((F.col("repo_url") == repo_url) & (F.col("file_path") == file_path)))
+
+
+def insert_identity(known: DataFrame, new: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """`known` with rows of keys it lacks; a key that is there with another value fails the job when it runs."""
+    met = new.join(known.select(*keys, F.col(value).alias("_known")), list(keys), "left")
+    ok = F.when(F.col("_known").isNotNull() & (F.col("_known") != F.col(value)), F.raise_error(F.concat(F.lit("another identity is stored for "), F.concat_ws("/", *keys)))).otherwise(F.col("_known").isNull())
+    return known.unionByName(met.where(ok).drop("_known").dropDuplicates(list(keys)))
+
+
+def swap_composes(edges: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """``composes`` edges of subdomains to nodes that are given another owner (id, to_domain, to_subdomain), from the new subdomain instead; human-curated ones stay."""
+    t = targets.select(F.col("id").alias("target_id"), F.concat(F.lit("subdomain::"), "to_domain", F.lit("::"), "to_subdomain").alias("_new"))
+    structural = (F.col("kind") == "composes") & F.startswith("source_id", F.lit("subdomain::")) & (F.col("provenance") != HUMAN)
+    joined = edges.join(t, "target_id", "left")
+    return collapse_edges(joined.withColumn("source_id", F.when(structural & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("source_id"))).select(*edges.columns))
+
+
+def rename_nodes(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """Nodes with the names of `names` (id, name); a blank name changes nothing."""
+    return update_nodes(nodes, names.where("trim(name) <> ''"))
+
+
+def touched_nodes(*parts: DataFrame) -> DataFrame:
+    """Distinct ids of several tables of ids: changed, added, fused, moved nodes and those of changed relations."""
+    out = parts[0].select("id")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("id"))
+    return out.where("id is not null").distinct()
+
+
+def sync_provenance(nodes: DataFrame, edges: DataFrame, sources: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with the source_refs of touched nodes and of their domains computed again, and edges without stale ``provides``."""
+    own = touched.select("id").distinct().withColumn("_own", F.lit(True))
+    domains = nodes.join(own, "id").where("domain is not null").select("domain").distinct()
+    per_node = own.join(skills_of_nodes(sources).withColumnRenamed("source_refs", "_refs"), "id", "left")
+    per_domain = domains.join(skills_of_domains(sources, nodes), "domain", "left").select(F.concat(F.lit("domain::"), "domain").alias("id"), F.lit(True).alias("_dom"), F.col("source_refs").alias("_drefs"))
+    joined = nodes.join(per_node, "id", "left").join(per_domain, "id", "left")
+    refs = F.when(F.col("_dom"), F.coalesce("_drefs", F.lit(""))).when(F.col("_own"), F.coalesce("_refs", F.lit(""))).otherwise(F.col("source_refs"))
+    fresh = joined.select(*[refs.alias(c) if c == "source_refs" else F.col(c) for c in nodes.columns])
+    stale = stale_provides(edges, nodes, sources).join(domains.select(F.concat(F.lit("domain::"), "domain").alias("target_id")), "target_id", "left_semi").select("id")
+    return fresh, edges.join(stale, "id", "left_anti")
+
+
+def apply_batch(nodes: DataFrame, edges: DataFrame, sources: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, new_sources: DataFrame) -> dict[str, DataFrame]:
+    """One incremental run: nodes updated or inserted, sources and checked edges upserted, provenance of all that was touched computed again.
+
+    Nodes a human has edited keep their content. Only touched nodes and their domains are computed again.
+    """
+    known = nodes.select("id").distinct()
+    updated = update_machine_content(nodes, new_nodes.join(known, "id", "left_semi"))
+    every = updated.unionByName(new_nodes.join(known, "id", "left_anti"), allowMissingColumns=True).select(*nodes.columns)
+    held = collapse_sources(sources.unionByName(new_sources.select(*sources.columns)))
+    linked = upsert_checked(edges, new_edges, every)
+    touched = touched_nodes(new_nodes, new_sources.select(F.col("node_uuid").alias("id")), new_edges.select(F.col("source_id").alias("id")), new_edges.select(F.col("target_id").alias("id")))
+    fresh, kept = sync_provenance(every, linked, held, touched)
+    return {"nodes": fresh, "edges": kept, "sources": held, "touched": touched}
+
+
+def recomputed_relations(edges: DataFrame, selected: DataFrame, nodes: DataFrame, scope: DataFrame) -> DataFrame:
+    """Edges after relations of dirty subdomains (scope: domain, subdomain) were selected anew.
+
+    Machine edges that start in the scope are replaced by the selected ones: an identity that exists keeps its id,
+    created_at and confidence, others come new; what was not selected goes. Human-curated edges, and all edges outside
+    the scope, stay as they are.
+    """
+    own = nodes.where(F.col("label").isin(*CONTENT_LABELS)).join(scope.select("domain", "subdomain").distinct(), ["domain", "subdomain"], "left_semi").select(F.col("id").alias("source_id")).distinct()
+    mine = (F.col("provenance") != HUMAN) & (F.col("kind") != "provides")
+    inside = edges.join(own, "source_id", "left_semi")
+    old = collapse_edges(inside.where(mine))
+    kept = edges.join(own, "source_id", "left_anti").unionByName(inside.where(~F.coalesce(mine, F.lit(False))))
+    human = inside.where(F.col("provenance") == HUMAN).select(*EDGE_KEY).distinct()
+    wanted = selected.join(own, "source_id", "left_semi").where("source_id <> target_id").groupBy(*EDGE_KEY).agg(F.max("confidence").alias("_c"), F.min("description").alias("_d")).join(human, EDGE_KEY, "left_anti")
+    joined = wanted.join(old.withColumn("_old", F.lit(True)), EDGE_KEY, "left")
+    pick = {"confidence": F.coalesce(F.col("confidence"), fill_confidence(F.col("_c"))), "description": F.coalesce(F.col("_d"), F.col("description")), "provenance": F.when(F.col("_old"), F.col("provenance")).otherwise("llm_inferred")}
+    return kept.unionByName(joined.select(*[pick.get(c, F.col(c)).alias(c) for c in edges.columns]))

@@ -239,3 +239,58 @@ def exact_member_details(nodes: DataFrame, units: DataFrame) -> DataFrame:
     """id and details: the details of a node's members in member order, blank and repeated ones left out."""
     rows = nodes.select("id", F.posexplode("members").alias("p", "unit_id")).dropDuplicates(["id", "unit_id"]).join(units.select("unit_id", "detail"), "unit_id").where("trim(detail) <> ''")
     return rows.groupBy("id").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("p", "detail"))), lambda x: x["detail"])), "\n\n").alias("details"))
+
+
+def unresolved_conflicts(conflicts: DataFrame) -> DataFrame:
+    return conflicts.where("resolution_status = 'unresolved'")
+
+
+def empty_members(nodes: DataFrame) -> DataFrame:
+    """Ids of nodes without any member."""
+    return nodes.where(F.coalesce(F.size("members"), F.lit(0)) <= 0).select("id")
+
+
+def complete(nodes: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fused nodes that are whole (id, at least one member, all known, confidence in [0, 1], a description), and the rule each other one breaks."""
+    unknown = nodes.select("id", F.explode("members").alias("unit_id")).join(units.select("unit_id").distinct(), "unit_id", "left_anti").select("id").distinct().withColumn("_unknown", F.lit(True))
+    c = F.col("confidence")
+    rule = (
+        F.when(F.coalesce(F.trim("id"), F.lit("")) == "", "no id").when(F.coalesce(F.size("members"), F.lit(0)) <= 0, "no member").when(F.col("_unknown"), "unknown member")
+        .when(~F.coalesce(c.between(0, 1) & ~F.isnan(c), F.lit(False)), "confidence").when(F.coalesce(F.trim("description"), F.lit("")) == "", "no description")
+    )
+    marked = nodes.join(unknown, "id", "left").withColumn("rule", rule)
+    return marked.where("rule is null").drop("_unknown", "rule"), marked.where("rule is not null").select("id", "rule")
+
+
+def relation_candidates(relations: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Relations with both ends resolved and a valid kind and confidence, and the others with the first rule they break."""
+    both = resolve_endpoints(relations, names)
+    c = F.col("confidence")
+    rule = (
+        F.when(F.col("source_id").isNull() | F.col("target_id").isNull(), "endpoint").when(F.col("source_id") == F.col("target_id"), "self")
+        .when(~F.coalesce(F.col("kind").isin(*SEMANTIC_KINDS), F.lit(False)), "kind").when(~F.coalesce(c.between(0, 1) & ~F.isnan(c), F.lit(False)), "confidence")
+    )
+    marked = both.withColumn("rule", rule)
+    return marked.where("rule is null").drop("rule"), marked.where("rule is not null")
+
+
+def apply_selections(relations: DataFrame, selections: DataFrame) -> DataFrame:
+    """Relations (relation_id, source_id, target_id, kind, description) that were selected, given to their owner scope; equal ones of an owner become one, the least id."""
+    met = relations.join(selections.select("relation_id", "owner").distinct(), "relation_id")
+    return met.groupBy("owner", "source_id", "target_id", "kind", F.coalesce("description", F.lit("")).alias("description")).agg(F.min("relation_id").alias("relation_id"))
+
+
+def skills_of_members(nodes: DataFrame, units: DataFrame) -> DataFrame:
+    """id and skills: of its members in member order, each once. units: unit_id, skill, pos; the last document of a unit wins."""
+    last = units.groupBy("unit_id").agg(F.max_by("skill", "pos").alias("skill"))
+    rows = nodes.select("id", F.posexplode("members").alias("p", "unit_id")).join(last, "unit_id").where("skill <> ''")
+    return rows.groupBy("id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("p", "skill"))), lambda x: x["skill"])).alias("skills"))
+
+
+def assign_uuids(nodes: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (scope, alias, members) with the id their members give, and relations (scope, source, target) with the ids of their ends; what is ambiguous or unknown goes."""
+    from weftgraph.functions.identity import node_uuid
+
+    named = nodes.where("size(members) > 0").withColumn("id", node_uuid(F.col("members")))
+    ends = resolve_endpoints(relations, named.select("scope", "alias", "id"))
+    return named, ends.where("source_id is not null and target_id is not null and source_id <> target_id")

@@ -87,10 +87,10 @@ def hybrid(nodes: DataFrame, edges: DataFrame, hits: DataFrame, limit: int = MAX
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= min(limit, MAX_RESULTS)).select("qid", "place", "id", "score", "depth")
 
 
-def impact(nodes: DataFrame, edges: DataFrame, hits: DataFrame, depth: int = 2, min_confidence: float = 0.0) -> DataFrame:
+def impact(nodes: DataFrame, edges: DataFrame, hits: DataFrame, depth: int = 2, min_confidence: float = 0.0, reach: int = 100) -> DataFrame:
     """qid, id, depth of what is reached from the three best hits; the depth is kept within 1 to 5."""
     seeds = top_k(hits, 3).select("qid", "id", F.col("place").alias("pos"))
-    found, _ = bfs(nodes, edges, seeds, max(1, min(5, depth)), min_confidence)
+    found, _ = bfs(nodes, edges, seeds, max(1, min(5, depth)), min_confidence, reach)
     return found
 
 

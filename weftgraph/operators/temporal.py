@@ -121,3 +121,39 @@ def keep_last(history: DataFrame, order: str, most: int = 50, group: str | None
         return history.orderBy(F.col(order).desc()).limit(most)
     w = Window.partitionBy(group).orderBy(F.col(order).desc())
     return history.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def lineage_rows(lineage: DataFrame) -> DataFrame:
+    """All lineage rows in order of time, new and old id."""
+    return lineage.orderBy("created_at", "new_uuid", "old_uuid")
+
+
+def listed(changes: DataFrame) -> DataFrame:
+    """`changes` but the unchanged ones with ord (rank of the category), line and json, in order of ord and id: the report by rows, however many there are."""
+    order = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category"))
+    line = F.concat_ws(" ", F.lit("-"), "category", "id", F.concat_ws(",", "changed"), F.concat_ws(",", "targets"))
+    text = F.to_json(F.struct("category", "id", F.coalesce("changed", F.array().cast("array<string>")).alias("changed"), F.coalesce("targets", F.array().cast("array<string>")).alias("targets")))
+    rows = changes.where("category <> 'unchanged'").select(order.cast("int").alias("ord"), "id", "category", F.trim(line).alias("line"), text.alias("json"))
+    return rows.orderBy("ord", "id")
+
+
+def why(ids: DataFrame, lineage: DataFrame) -> DataFrame:
+    """id with its predecessors, successors and terminals (sorted arrays, empty where there are none)."""
+    arr = lambda df, c: df.groupBy("id").agg(F.array_sort(F.collect_set("v")).alias(c))
+    before = arr(lineage.select(F.col("new_uuid").alias("id"), F.col("old_uuid").alias("v")), "predecessors")
+    after = arr(lineage.select(F.col("old_uuid").alias("id"), F.col("new_uuid").alias("v")), "successors")
+    ends = arr(terminals(ids, lineage).where("terminal <> id").withColumnRenamed("terminal", "v"), "terminals")
+    joined = ids.select("id").distinct()
+    for df in (before, after, ends):
+        joined = joined.join(df, "id", "left")
+    none = F.array().cast("array<string>")
+    return joined.select("id", *[F.coalesce(c, none).alias(c) for c in ("predecessors", "successors", "terminals")])
+
+
+def record(version: str, parent: str | None, node_changes: DataFrame, edge_changes: DataFrame, sources: DataFrame, measures: DataFrame) -> DataFrame:
+    """One changeset as a row: versions, the ten counts, the number of affected documents, and the sample of measures (of `structure`)."""
+    counts = diff_counts(node_changes, edge_changes)
+    wide = counts.agg(*[F.max(F.when(F.col("change") == c, F.col("n"))).alias(f"n_{c}") for c in (*CATEGORIES, *EDGE_CHANGES)])
+    docs = affected_documents(node_changes, sources).agg(F.count(F.lit(1)).alias("docs_affected"))
+    one = wide.join(F.broadcast(docs), F.lit(True)).join(F.broadcast(measures), F.lit(True))  # one row each
+    return one.select(F.lit(version).alias("kb_version"), F.lit(parent).cast("string").alias("parent_version"), "*")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARKER = "SKILL.md"
-REFERENCE_DIRS = ("references", "reference", "docs", "guides")
+REFERENCE_DIRS = ("references", "reference", "docs", "guides")  # names of folders whose files belong to the skill above
 DISPOSITIONS = ("supported", "unsupported", "unreadable", "excluded")
 
 
@@ -185,3 +185,47 @@ def token_windows(df: DataFrame, key: str, text: str, size: int = 256, step: int
     out = rows.select("key", "w", F.posexplode(starts).alias("piece", "first_token"))
     part = F.slice("w", F.col("first_token") + 1, F.lit(size))
     return out.select("key", "piece", "first_token", F.size(part).alias("n_tokens"), F.array_join(part, " ").alias("text"))
+
+
+def reference_files(paths: DataFrame, path: str) -> DataFrame:
+    """skill (the folder above) and path of each file that lies in a folder of references."""
+    pattern = rf"^(.*?)/(?:{'|'.join(REFERENCE_DIRS)})/[^/]+(?:/[^/]+)*$"
+    return paths.select(F.regexp_extract(path, pattern, 1).alias("skill"), F.col(path).alias("path")).where("skill <> ''").distinct()
+
+
+def safe_path(path: Column) -> Column:
+    """A relative path without backslash, colon, percent or control sign, dot segment, empty segment or outer blank."""
+    return F.coalesce((path != "") & ~path.rlike(r"[\\:%\x00-\x1f]|^/|^\s|\s$|(^|/)\.{1,2}(/|$)|//"), F.lit(False))
+
+
+def render_blocks(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """file_path and text: the blocks of a document's nodes, in order of id, as `parse_blocks` reads them; one row per document."""
+    body = F.concat_ws("\n", F.concat(F.lit("# "), "name"), F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary")))
+    block = F.concat(F.lit("<!-- kg:uuid="), "id", F.lit(" -->\n"), body, F.lit("\n<!-- /kg -->"))
+    views = sources.where("file_path <> ''").select(F.col("node_uuid").alias("id"), "file_path").distinct().join(nodes.select("id", block.alias("block")).where("block is not null"), "id")
+    return views.groupBy("file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "block"))), lambda x: x["block"]), "\n\n").alias("text"))
+
+
+def sidecar(parsed: DataFrame) -> DataFrame:
+    """path, uuid and editable_hash of the blocks of `blocks`: the baseline later edits are told from."""
+    return parsed.where("kind = 'block'").select("path", "uuid", editable_hash(F.col("body")).alias("editable_hash"))
+
+
+def rebound(parsed: DataFrame, baseline: DataFrame) -> DataFrame:
+    """path, old_uuid, new_uuid: a block whose id is gone from a document while the same body stands there under an id the document did not have."""
+    own = parsed.where("kind = 'block'").select("path", "uuid", editable_hash(F.col("body")).alias("editable_hash"))
+    gone = baseline.select("path", "uuid", "editable_hash").join(own.select("path", "uuid"), ["path", "uuid"], "left_anti").withColumnRenamed("uuid", "old_uuid")
+    fresh = own.join(baseline.select("path", "uuid"), ["path", "uuid"], "left_anti").withColumnRenamed("uuid", "new_uuid")
+    return gone.join(fresh, ["path", "editable_hash"]).select("path", "old_uuid", "new_uuid")
+
+
+def dispatch(changes: DataFrame) -> DataFrame:
+    """`changes` of `classify_edits` with plan: content edits and deletions go past the pipeline (``bypass``), new text goes through it (``pipeline``), changes of what is fixed are refused (``reject``)."""
+    return changes.withColumn("plan", F.when(F.col("change").isin("C1", "C2"), "bypass").when(F.col("change") == "C4", "pipeline").otherwise("reject"))
+
+
+def shared_nodes(views: DataFrame) -> DataFrame:
+    """file_path, node_uuid, shared (in two or more files) and primary (the node's first file)."""
+    once = views.select("file_path", "node_uuid").distinct()
+    many = once.groupBy("node_uuid").agg((F.count(F.lit(1)) >= 2).alias("shared"), F.min("file_path").alias("_first"))
+    return once.join(many, "node_uuid").select("file_path", "node_uuid", "shared", (F.col("file_path") == F.col("_first")).alias("primary"))

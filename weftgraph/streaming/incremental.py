@@ -126,17 +126,33 @@ def leases(stream: DataFrame) -> DataFrame:
     return stream.groupBy("resource").applyInPandasWithState(lease, LEASE, "holder string, expires long", "append", GroupStateTimeout.NoTimeout)
 
 
-#: Transitions of a run; a state that is not a key is final.
+# The states of a run and where each may go; a state may always be entered again, and one that is not listed on the left is final.
 TRANSITIONS = {
-    "queued": ("planning", "cancelled"), "planning": ("building", "unchanged", "failed"), "building": ("validating", "failed"), "validating": ("proposed", "failed"),
-    "proposed": ("merged", "rejected"), "merged": ("publishing",), "publishing": ("published", "failed"), "failed": ("retrying",), "retrying": ("planning", "cancelled"),
-}
+    "Idle": "FetchSource Stale",
+    "FetchSource": "RestoreBase FullBuild Plan Stable Stale FailedRetryable",
+    "RestoreBase": "Plan FullBuild FailedRetryable Stale",
+    "Plan": "FullBuild IncrementalBuild Stable FailedRetryable Stale",
+    "FullBuild": "ValidateCandidate FailedRetryable Stale",
+    "IncrementalBuild": "RebalanceCheck ValidateCandidate FailedRetryable Stale",
+    "RebalanceCheck": "Rebalance ValidateCandidate FailedRetryable Stale",
+    "Rebalance": "ValidateCandidate FailedRetryable Stale",
+    "ValidateCandidate": "CreateSourcePR UploadCandidate FailedRetryable FailedPermanent Stale",
+    "CreateSourcePR": "AwaitSourcePR ReconcileMergedSource FailedRetryable Stale",
+    "AwaitSourcePR": "ReconcileMergedSource Blocked Stale AwaitSourcePR FailedRetryable",
+    "ReconcileMergedSource": "UploadCandidate IncrementalBuild CreateSourcePR ValidateCandidate Blocked FailedRetryable Stale",
+    "UploadCandidate": "CreateCatalogPR FailedRetryable Stale",
+    "CreateCatalogPR": "AwaitCatalogPR FailedRetryable Stale",
+    "AwaitCatalogPR": "Stable Blocked AwaitCatalogPR FailedRetryable Stale",
+    "FailedRetryable": "Idle FetchSource RestoreBase Plan FullBuild IncrementalBuild RebalanceCheck Rebalance ValidateCandidate CreateSourcePR AwaitSourcePR ReconcileMergedSource UploadCandidate CreateCatalogPR AwaitCatalogPR FailedPermanent Stale",
+    "Blocked": "Idle",
+}
+STATES = (*[s for s in TRANSITIONS if s not in ("FailedRetryable", "Blocked")], "Stable", "Blocked", "FailedRetryable", "FailedPermanent", "Stale")
 
 
 def illegal_transitions(log: DataFrame, run_id: str, state: str, order: str) -> DataFrame:
     """Steps of a run that its table of transitions does not have."""
     from pyspark.sql import Window
 
-    known = log.sparkSession.createDataFrame([(a, b) for a, many in TRANSITIONS.items() for b in many], "before string, after string")
+    known = log.sparkSession.createDataFrame([(a, b) for a, many in TRANSITIONS.items() for b in many.split()] + [(x, x) for x in STATES], "before string, after string")
     steps = log.withColumn("before", F.lag(state).over(Window.partitionBy(run_id).orderBy(order))).withColumnRenamed(state, "after").where("before is not null")
     return steps.join(F.broadcast(known), ["before", "after"], "left_anti")
