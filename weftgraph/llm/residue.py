@@ -2,9 +2,9 @@
 
 A text without its code is cut into segments (lines, and sentences within lines). Features of a segment are hashed one- to
 three-token sequences (a token is a word, a number or one sign), hashed sequences of token shapes (runs of words count as
-one, capitals apart) around brackets and other signs, its length, the text's length, and whether it is a title. A logistic
+one, capitals apart) around brackets and other signs, its length, how much of it repeats, the text's length, and whether it is a title. A logistic
 regression with an L2 penalty is fitted on a bounded sample with weak labels: standard phrases of response statuses,
-script notices and filler where they make up a short segment; long sentences that hold such a phrase speak about it and
+script notices and filler where they make up a short segment, and segments of few words said again and again; long sentences that hold such a phrase speak about it and
 are harmless. A fixed list of made-up examples of each family and language stands beside the sample, so a small sample
 lacks none. After a first fit, unlabelled segments that score high become positives and doubtful ones are left out, and
 the model is fitted again. Hosts (skills) are split: the threshold is chosen on hosts the fit has not seen. A text is a
@@ -35,11 +35,11 @@ ROUNDS, RATE = 80, 0.2
 #: Least weight of a feature: many harmless words must not outweigh one placeholder among them.
 LEAST = -0.02
 #: After each of these fits an unlabelled segment above the first score is a positive of the next; between the two it is left out.
-STEPS = ((1.5, -2.5), (0.5, -2.0))
+STEPS = ((1.5, -3.2), (0.5, -2.8))
 #: Weight of an unlabelled segment in the first fit: it may be a case without a known phrase.
 DOUBT = 0.3
 #: Where unseen hosts decide nothing, and how far they may move the threshold.
-THRESHOLD, REACH = 0.15, 1.5
+THRESHOLD, REACH = 0.0, 1.5
 #: Weights against one unlabelled segment: of a weakly labelled positive, of one that speaks about such things, of a made-up example, of a harmless sentence that examples are put into.
 POSITIVE, SPEAKS, SEED, CALM = 8.0, 60.0, 5.0, 3.0
 
@@ -51,7 +51,7 @@ _TAG = re.compile(r"</?(?:a|b|i|u|p|em|br|hr|h[1-6]|li|ul|ol|td|th|tr|div|span|s
 # Phrases of response statuses (published with the protocol), and standard phrases of each family by language.
 REASONS = sorted(s.phrase.lower() for s in HTTPStatus if s >= 400)
 PHRASES = {
-    ("script", "en"): r"(?:enable|activate|turn on|allow|requires?|without|needs?) (?:java)?scripts?|javascript (?:is|must be|has been|seems to be|to be) \w+",
+    ("script", "en"): r"(?:not |cannot |can.t )?(?:run|support|execute|block)s? (?:java)?scripts?|scripts? (?:and cookies )?must be allowed|(?:enable|activate|turn on|allow|requires?|without|needs?) (?:java)?scripts?|javascript (?:is|must be|has been|seems to be|to be) \w+",
     ("script", "de"): r"javascript (?:ist|muss|bitte|im browser|zu aktivieren|aktivieren)|aktivieren sie (?:bitte )?(?:java)?scripts?|skripte",
     ("script", "fr"): r"(?:activer|activez|autoriser) (?:le )?(?:java)?scripts?|javascript (?:est|doit)|bloque les scripts",
     ("script", "es"): r"(?:activ\w+|habilit\w+|permit\w+) (?:el )?(?:java)?scripts?|javascript (?:está|debe)|scripts desactivados",
@@ -86,6 +86,7 @@ _FAMILIES = sorted({f for f, _ in PHRASES})
 _LANGUAGES = ("en", "de", "fr", "es", "zh")
 _WORD = re.compile(r"[㐀-䶿一-鿿]|[^\W_㐀-䶿一-鿿]+")
 _REASON = re.compile(rf"\W*(?:(?:http|error|status|code)\W*)*(?:[45]\d\d\W+)?(?:{'|'.join(map(re.escape, REASONS))})\W*", re.I)
+_SIGNS = re.compile(r"[{}<>\[\]%@$（）【】《》]")
 _LETTER = re.compile(r"[^\W\d_]")
 _MENTION = re.compile(rf"\b[45]\d\d\s+(?:{'|'.join(map(re.escape, REASONS))})\b", re.I)
 _STATUS = re.compile(r"\W*(?:(?:http|error|status|code|erreur|fehler|código|错误)\W*)+[45]\d\d\b.{0,40}|[45]\d\d\W.{0,40}", re.I | re.S)
@@ -106,7 +107,7 @@ NAMES = 10
 _PLACE = re.compile(r"[㐀-䶿一-鿿]{2}|[^\W㐀-䶿一-鿿]+(?:[._]\w+)*")
 # Made-up examples of each family and language.
 SEEDS = {
-    ("script", "en"): "Please enable JavaScript in your browser.|JavaScript is required to use this site.|This site requires JavaScript to work.|You need to enable JavaScript to run this app.|JavaScript has been disabled in your settings.|Scripts must be allowed for this page.|Turn on scripts to continue.|This page works best with JavaScript turned on.|Your browser does not support scripts.|Cookies and scripts are blocked, please allow them.|We're sorry, but this app doesn't work properly without JavaScript enabled.",
+    ("script", "en"): "Please enable JavaScript in your browser.|JavaScript is required to use this site.|This site requires JavaScript to work.|You need to enable JavaScript to run this app.|JavaScript has been disabled in your settings.|Scripts must be allowed for this page.|Turn on scripts to continue.|This page works best with JavaScript turned on.|Your browser does not support scripts.|Your browser does not run JavaScript, so this site cannot be displayed.|Nothing can be shown without scripts.|Cookies and scripts are blocked, please allow them.|We're sorry, but this app doesn't work properly without JavaScript enabled.",
     ("script", "de"): "Bitte aktivieren Sie JavaScript in Ihrem Browser.|JavaScript ist deaktiviert.|Diese Seite benötigt JavaScript.|Ihr Browser blockiert Skripte.|Für diese Anwendung müssen Skripte erlaubt sein.",
     ("script", "fr"): "Veuillez activer JavaScript dans votre navigateur.|JavaScript est désactivé.|Ce site nécessite JavaScript.|Votre navigateur bloque les scripts.|Cette application a besoin de scripts.",
     ("script", "es"): "Habilite JavaScript en su navegador.|JavaScript está desactivado.|Este sitio necesita JavaScript.|Su navegador bloquea los scripts.|Active los scripts para continuar.",
@@ -121,7 +122,7 @@ SEEDS = {
     ("denied", "fr"): "Accès refusé|Accès interdit|Vous n'avez pas la permission de voir cette page.|403 Interdit",
     ("denied", "es"): "Acceso denegado|No tiene permiso para ver esta página.|Acceso prohibido|403 Prohibido",
     ("denied", "zh"): "访问被拒绝|拒绝访问|您没有权限访问此页面。|403 禁止访问|权限不足，无法查看。",
-    ("down", "en"): "503 Service Unavailable|502 Bad Gateway|500 Internal Server Error|504 Gateway Timeout|Error 500|429 Too Many Requests|Too many requests, please slow down.|Service temporarily unavailable.|Please try again later.|Retry after a few seconds.|Something went wrong.|An unexpected error occurred while loading the page.|The server closed the connection.|Could not connect to the server: timeout|Connection refused by upstream|Could not connect to the database.|We are down for maintenance.|Reload this page.|Request id: 4f1c|Reference id: 17|Trace id: 9|Error code: 17",
+    ("down", "en"): "503 Service Unavailable|502 Bad Gateway|500 Internal Server Error|504 Gateway Timeout|Error 500|429 Too Many Requests|Too many requests, please slow down.|Too many requests (429)|Retry after 30 seconds.|Service temporarily unavailable.|Please try again later.|Retry after a few seconds.|Something went wrong.|An unexpected error occurred while loading the page.|The server closed the connection.|Could not connect to the server: timeout|Connection refused by upstream|Could not connect to the database.|We are down for maintenance.|Reload this page.|Request id: 4f1c|Reference id: 17|Trace id: 9|Error code: 17",
     ("down", "de"): "Interner Serverfehler|Der Server ist derzeit nicht erreichbar.|Der Dienst ist vorübergehend nicht verfügbar.|Bitte versuchen Sie es später erneut.|Fehler 500|Fehler 503: Dienst nicht verfügbar|Es ist ein Fehler aufgetreten.|Zu viele Anfragen",
     ("down", "fr"): "Erreur interne du serveur|Le service est indisponible.|Service temporairement indisponible|Veuillez réessayer plus tard.|Erreur 500|Erreur 503 : service indisponible|Une erreur est survenue.|Trop de requêtes",
     ("down", "es"): "Error interno del servidor|El servicio no está disponible.|Servicio no disponible|Servicio temporalmente no disponible|Inténtelo de nuevo más tarde.|Error 500|Error 503: servicio no disponible|Se ha producido un error.|Demasiadas solicitudes",
@@ -131,7 +132,7 @@ SEEDS = {
     ("session", "fr"): "Votre session a expiré.|Veuillez vous connecter.|Veuillez vous identifier de nouveau.",
     ("session", "es"): "Su sesión ha expirado.|Inicie sesión para continuar.|Vuelva a iniciar sesión.",
     ("session", "zh"): "会话已过期，请重新登录。|请登录后继续。|登录已过期。",
-    ("filler", "en"): "Lorem ipsum dolor sit amet, consectetur adipiscing elit.|Sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.|Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris.|Duis aute irure dolor in reprehenderit in voluptate velit esse cillum.|Excepteur sint occaecat cupidatat non proident, sunt in culpa.|This is placeholder text.|Sample text|Dummy text, to be replaced.|Placeholder copy goes here.|Your text goes here.|Text will go in here.|Replace this text later.|Insert your content here.|This is a sample paragraph.|asdf asdf asdf|qwerty qwerty|blah blah blah|foo bar foo bar|test test test",
+    ("filler", "en"): "Lorem ipsum dolor sit amet, consectetur adipiscing elit.|Sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.|Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris.|Duis aute irure dolor in reprehenderit in voluptate velit esse cillum.|Excepteur sint occaecat cupidatat non proident, sunt in culpa.|This is placeholder text.|Sample text|Dummy text, to be replaced.|Placeholder copy goes here.|Placeholder text, to be replaced later.|Placeholder, please replace.|Your text goes here.|Text will go in here.|Replace this text later.|Insert your content here.|This is a sample paragraph.|asdf asdf asdf|qwerty qwerty|blah blah blah|foo bar foo bar|test test test",
     ("filler", "de"): "Dies ist ein Blindtext.|Platzhaltertext|Hier steht ein Beispieltext.|Hier kommt später Text hin.|Mustertext|Beispieltext Beispieltext",
     ("filler", "fr"): "Ceci est un faux texte.|Texte d'exemple à remplacer.|Texte de remplissage|Le texte viendra ici.|Remplacer ce texte",
     ("filler", "es"): "Este es un texto de relleno.|Texto de relleno|Texto provisional|Texto de ejemplo|Texto de prueba|Aquí va el texto.|Reemplace este texto",
@@ -141,7 +142,7 @@ SEEDS = {
 HARMLESS = (
     "The page says that access was denied when the token is missing.|A 404 from the upstream is retried three times before the run fails.|Load tests use lorem ipsum paragraphs as neutral input.|Benchmarks take lorem ipsum of a fixed length as input.|The editor fills new pages with lorem ipsum until someone writes them.|Without JavaScript the viewer shows a plain list.|The viewer depends on JavaScript, else it shows a fixed list."
     "|Ohne JavaScript zeigt die Ansicht nur eine Liste.|Sans JavaScript, la vue montre une liste fixe.|Sin JavaScript, la vista muestra una lista fija.|查看器依赖 JavaScript，否则只显示列表。|A service that is unavailable counts as failed after a minute.|The template engine replaces every placeholder at build time."
-    "|Users who are not found in the table get a new row.|The session expires after ten minutes.|Sessions that expired are removed each night.|Retry after the lease has ended.|The error page of the gateway names the failed host.|Items on the TODO list are closed each week.|Guarda todo lo que el sistema considera nuevo.|See [the guide](docs/guide.md) for more.|- [ ] check the list|- [x] done|Use <https://example.org> as base.|Values between 10% and 20% are fine."
+    "|Users who are not found in the table get a new row.|The session expires after ten minutes.|Sessions that expired are removed each night.|Retry after the lease has ended.|The error page of the gateway names the failed host.|Items on the TODO list are closed each week.|Guarda todo lo que el sistema considera nuevo.|See [the guide](docs/guide.md) for more.|Compare rows [4, 8] with row (3, 5).|As [12] says, the list [a, b] is closed.|The set {1, 2} lies in {0, 1, 2, 3}.|Values <= 4 and >= 2 count.|- [ ] check the list|- [x] done|Use <https://example.org> as base.|Values between 10% and 20% are fine."
 ).split("|")
 
 
@@ -193,6 +194,8 @@ def weak_label(segment: str, left_out: str | None = None) -> bool | None:
         return True
     if left_out not in ("filler", "en") and _LATIN.search(segment):
         return True
+    if left_out not in ("filler", "en") and len(found := _WORD.findall(segment.lower())) >= 6 and len(set(found)) <= 3:
+        return True
     words = _length(segment)
     if words > SHORT and _MENTION.search(segment):
         return False
@@ -298,9 +301,11 @@ def features(texts: list[str]) -> Features:
     ending = (every[last] * _M + eos) * _M
     ending2 = ((prev[last] * _M + every[last]) * _M + eos) * _M + np.uint64(5)
     size = np.diff(np.append(begin, len(seg)))
+    again = np.add.reduceat(((every == prev) | (every == prev2) | (every == _shifted(prev2, new, bos))) & (shape < 16), begin)
+    repeats = np.minimum(again * 5 // size, 4) * (size > 4)
     length = np.minimum(np.log2(size + 1) * 2, 14).astype(np.int64)
     doc_length = np.minimum(np.log2(np.diff(text_at) + 1).astype(np.int64), 16)[text]
-    for extra in (ending, ending2, np.uint64(1 << 50) + (length + 16 * titled).astype(np.uint64), np.uint64(1 << 51) + (np.minimum(doc_length, 9) * 16 + length).astype(np.uint64)):
+    for extra in (ending, ending2, np.uint64(1 << 50) + (length + 16 * titled).astype(np.uint64), np.uint64(1 << 52) + repeats.astype(np.uint64), np.uint64(1 << 51) + (np.minimum(doc_length, 9) * 16 + length).astype(np.uint64)):
         groups.append((_slots(extra), which))
     # shapes: a run of words, capitals, numbers or Han characters counts as one
     keep = new.copy()
@@ -401,18 +406,22 @@ def train(rows: list[tuple[str, str]], left_out: str | None = None) -> Model:
     unseen = np.array(unseen, bool)
     said = [weak_label(s, left_out) for s in texts]
     label = np.array([x is True for x in said], bool)
-    plain = [s for s, y, u in zip(texts, said, unseen) if y is None and not u and 5 <= _length(s) <= 40][:2_000] or ["The owner signs the header and the hub stores it."]
+    plain = [s for s, y, u in zip(texts, said, unseen) if y is None and not u and 5 <= _length(s) <= 40 and not _SIGNS.search(s)][:2_000] or ["The owner signs the header and the hub stores it."]
     seeds = [s for key, many in SEEDS.items() if left_out not in key for t in many.split("|") for s in (t, t.upper(), f"# {t}")]
     if left_out not in ("en", "down", "missing", "denied"):
         seeds += [form.format(s.value, s.phrase) for s in HTTPStatus if s >= 400 for form in ("{} {}", "HTTP {} {}", "Error {}: {}")]
+    fixed_seeds = len(seeds)
     seeds += _shape_seeds(plain, tuple(x for x in _LANGUAGES if x != left_out), slice(0, None, 2) if left_out == "shapes" else slice(None))
     calm = [_calm(t, k + j) for j in (0, 4) for k, t in enumerate(plain)] + [" ".join(t.split(" ")[k % 3 :][: 3 + k % 4]) for k, t in enumerate(plain)]
+    calm += [form.format("_".join(w[:2]), w[-1], 7 * k) for k, t in enumerate(plain) if (w := _WORD.findall(t)) for form in ("| {0} | {2} |", "# {1} {0}")]
     every = [*texts, *seeds, *HARMLESS, *calm]
     fixed = len(seeds) + len(HARMLESS)
     free = np.array([x is None for x in said] + [False] * fixed + [True] * len(calm), bool)
     y = np.concatenate([label, np.ones(len(seeds), bool), np.zeros(len(HARMLESS) + len(calm), bool)])
-    known = np.array([POSITIVE if x else 1.0 if x is None else SPEAKS if _LETTER.search(s) else 1.0 for x, s in zip(said, texts)] + [SEED] * len(seeds) + [SPEAKS] * len(HARMLESS) + [CALM] * len(calm))
-    weight = np.where(free, known * DOUBT, known)
+    uses = (len(seeds) - fixed_seeds) / len(plain)
+    known = np.array([POSITIVE if x else 1.0 if x is None else SPEAKS if _LETTER.search(s) else 1.0 for x, s in zip(said, texts)] + [SEED] * len(seeds) + [SPEAKS] * len(HARMLESS) + [max(CALM, SEED * uses / 2)] * len(calm))  # as much as the examples that were put into the sentences
+    own = np.arange(len(every)) < len(texts)
+    weight = np.where(free & own, known * DOUBT, known)
     fit = np.concatenate([~unseen, np.ones(len(every) - len(texts), bool)])
     f = features_of_segments(every)
     seen = _rows(f, fit)
@@ -420,9 +429,8 @@ def train(rows: list[tuple[str, str]], left_out: str | None = None) -> Model:
         w, bias = _fit(seen, y[fit].astype(float), weight[fit])
         z = Model(w, bias, 0.0, {}).scores(f)
         # unlabelled segments the fit is sure of become positives, those it doubts are left out
-        own = np.arange(len(every)) < len(texts)
         y[free & own] = z[free & own] > sure
-        weight[free] = np.where(y[free], POSITIVE / 2, np.where(z[free] > doubtful, 0.0, known[free]))
+        weight[free] = np.where(y[free], POSITIVE / 2, np.where(z[free] > np.where(own[free], doubtful, sure), 0.0, known[free]))
     w, bias = _fit(seen, y[fit].astype(float), weight[fit])
     model = Model(w, bias, THRESHOLD, {})
     z = model.scores(f)
