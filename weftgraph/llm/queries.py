@@ -107,6 +107,12 @@ both_ways AS (SELECT id_a AS a, id_b AS b FROM pairs UNION SELECT id_b, id_a FRO
 reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
 SELECT ids.id, coalesce(least(ids.id, min(reach.b)), ids.id) AS group_id
 FROM (SELECT DISTINCT id FROM nodes WHERE id IS NOT NULL) ids LEFT JOIN reach ON reach.a = ids.id GROUP BY ids.id"""
+P1_CLASSES = f"""WITH {_P1_PAIRS},
+keyed AS (SELECT id, array_to_string(list_sort(w), ' ') AS k FROM numbered),
+cls AS (SELECT id, min(id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS n_copies FROM keyed),
+both_ways AS (SELECT id_a AS id FROM pairs UNION ALL SELECT id_b FROM pairs),
+linked AS (SELECT id, count(*) AS n FROM both_ways GROUP BY id)
+SELECT cls.id, class_id, n_copies, coalesce(n, 0) AS n_links FROM cls LEFT JOIN linked USING (id)"""
 P2_FOUND = "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1800"
 P7_FOUND = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format(_CLEAN)} AS w FROM documents WHERE text IS NOT NULL),
@@ -127,4 +133,4 @@ QUERIES = {
     "p1_found": p1_found, "p1_classes": p1_classes, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p7_found": p7_found, "p7_items": p7_items,
     "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_clean": p9_clean, "p9_validation": p9_validation,
 }
-SQL = {"p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p2_found": P2_FOUND, "p7_found": P7_FOUND, "p7_items": P7_ITEMS}
+SQL = {"p1_found": P1_FOUND, "p1_classes": P1_CLASSES, "p1_groups": P1_GROUPS, "p2_found": P2_FOUND, "p7_found": P7_FOUND, "p7_items": P7_ITEMS}
