@@ -24,7 +24,7 @@ class KnowledgeBase:
 
     @cached_property
     def index(self) -> search.Index:
-        return search.Index(self.graph.nodes, "id", list(search.FIELDS))
+        return search.Index.of_table(self.graph.raw("nodes"), self.graph.nodes, "id", list(search.FIELDS))
 
     def _hits(self, query: str, syntax: str = "text") -> DataFrame:
         if not query.strip():
@@ -46,7 +46,7 @@ class KnowledgeBase:
             own = own.where(F.col("label").isin(list(labels))) if labels else own
             hits = hits.join(own.select("id"), "id", "left_semi")
         best = search.hybrid(self.graph.nodes, self.graph.edges, hits, limit, min_confidence=self.min_confidence, domains=domains)
-        into = self.graph.edges.groupBy(F.col("target_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("source_id", "kind"))).alias("incoming"))
+        into = graph.incoming(self.graph.edges, best).groupBy(F.col("target_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("source_id", "kind"))).alias("incoming"))
         return best.join(self.graph.nodes.select("id", "label", "name", "summary", "domain"), "id").join(into, "id", "left").drop("qid").orderBy("place")
 
     def impact(self, query: str, depth: int = 2, min_confidence: float = 0.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.fulltext import compile_text, fold_text, rewrite, token_array
 from weftgraph.operators.graph import bfs
-from weftgraph.sources.tables import materialize
+from weftgraph.sources.tables import fingerprint, kept, materialize
 
 K1, B = 1.2, 0.75
 #: Columns of a node that are indexed.
@@ -18,19 +19,32 @@ FIELDS = ("name", "summary", "synonyms", "description", "tags", "related_entitie
 TEXT_WEIGHT, GRAPH_WEIGHT, MAX_RESULTS = 0.6, 0.4, 10
 
 
+#: Parts a term's postings are cut into when they are written: no stop word is one task's work.
+SALTS = 16
+
+
 class Index:
-    """Postings (term, id, col, pos) and lengths of the rows of a table; written once, clustered by term."""
+    """Postings (term, id, col, pos) and lengths of the rows of a table; written once, sorted by term."""
 
-    def __init__(self, rows: DataFrame, key: str, fields: Sequence[str], profile: str = "literal") -> None:
+    def __init__(self, rows: DataFrame, key: str, fields: Sequence[str], profile: str = "literal", name: str | None = None) -> None:
+        """With a `name` (which must change with the rows) the index is kept, and a later session reads what an earlier one wrote."""
         arrays = rows.select(F.col(key).alias("id"), *[token_array(F.col(c).cast("string"), profile).alias(f"t{k}") for k, c in enumerate(fields)]).where("id is not null")
         names = [f"t{k}" for k in range(len(fields))]
-        self.lengths = materialize(arrays.select("id", sum((F.size(c) for c in names), F.lit(0)).cast("long").alias("size")))
+        write = (lambda df, part: kept(df, f"{name}-{part}")) if name else (lambda df, part: materialize(df))
+        self.lengths = write(arrays.select("id", sum((F.size(c) for c in names), F.lit(0)).cast("long").alias("size")), "lengths")
 
         def placed(k: int) -> Column:
             return F.transform(names[k], lambda t, p: F.struct(t.alias("term"), F.lit(k).alias("col"), p.alias("pos")))
 
         every = F.concat(*[placed(k) for k in range(len(names))])
-        self.postings = materialize(arrays.select("id", F.inline(every)).repartition("term").sortWithinPartitions("term"))
+        postings = arrays.select("id", F.inline(every))
+        self.postings = write(postings.repartition("term", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("term"), "postings")
+
+    @classmethod
+    def of_table(cls, table: DataFrame, rows: DataFrame, key: str, fields: Sequence[str], profile: str = "literal") -> Index:
+        """The kept index of `rows`, which are made of the files of `table`: built when these have changed, else read."""
+        made_of = hashlib.sha256(f"{fingerprint(table)} {key} {','.join(fields)} {profile} 1".encode()).hexdigest()[:24]
+        return cls(rows, key, fields, profile, f"index-{made_of}")
 
     def score(self, queries: DataFrame, mode: str = "and") -> DataFrame:
         """qid, id and rank (lower is better) of rows that match; queries: qid, atom, tokens (a phrase).
@@ -39,7 +53,9 @@ class Index:
         column. `and`: every atom must occur; `or`: any.
         """
         wanted = queries.select("qid", "atom", F.size("tokens").alias("k"), F.posexplode("tokens").alias("j", "term"))
-        hits = wanted.join(self.postings, "term").groupBy("qid", "atom", "k", "id", "col", (F.col("pos") - F.col("j")).alias("at")).agg(F.count_distinct("j").alias("got"))
+        terms = getattr(queries, "_terms", None)  # known on the driver for plain queries: the scan skips what holds none of them
+        postings = self.postings if terms is None else self.postings.where(F.col("term").isin(terms))
+        hits = wanted.join(postings, "term").groupBy("qid", "atom", "k", "id", "col", (F.col("pos") - F.col("j")).alias("at")).agg(F.count_distinct("j").alias("got"))
         freq = hits.where("got = k").groupBy("qid", "atom", "id").agg(F.count(F.lit(1)).alias("f"))
         found = freq.groupBy("qid", "atom").agg(F.count(F.lit(1)).alias("n"))
         stats = self.lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("size").alias("mean"))
@@ -56,7 +72,9 @@ class Index:
 def query_frame(spark: SparkSession, queries: dict[str, str], profile: str = "literal") -> DataFrame:
     """qid, atom, tokens of plain queries."""
     rows = [(q, k, atom) for q, text in queries.items() for k, atom in enumerate(compile_text(rewrite(text), profile))]
-    return spark.createDataFrame(rows, "qid string, atom int, tokens array<string>")
+    out = spark.createDataFrame(rows, "qid string, atom int, tokens array<string>")
+    out._terms = sorted({t for _, _, atom in rows for t in atom})
+    return out
 
 
 def or_queries(df: DataFrame, qid: Column, text: Column) -> DataFrame:
@@ -71,9 +89,12 @@ def top_k(scored: DataFrame, k: int, order: str = "rank") -> DataFrame:
 
 
 def strengths(hits: DataFrame) -> DataFrame:
-    """`hits` with text: the strength of each rank relative to the query's best; all zero means all 1."""
+    """`hits` with text: the strength of each rank relative to the query's best; all zero means all 1. A rank that is positive or no number fails the job."""
+    rank = F.col("rank")
+    bad = F.isnan(rank) | (rank > 0) | (F.abs(rank) == float("inf"))
+    sound = F.when(bad, F.raise_error(F.lit("a rank is positive or not finite"))).otherwise(rank)
     best = F.max(-F.col("rank")).over(Window.partitionBy("qid"))
-    return hits.withColumn("text", F.when(best > 0, -F.col("rank") / best).otherwise(1.0))
+    return hits.withColumn("rank", sound).withColumn("text", F.when(best > 0, -F.col("rank") / best).otherwise(1.0))
 
 
 def hybrid(nodes: DataFrame, edges: DataFrame, hits: DataFrame, limit: int = MAX_RESULTS, depth: int = 2, reach: int = 100, min_confidence: float = 0.0, domains: Sequence[str] = ()) -> DataFrame:

@@ -13,10 +13,13 @@ from weftgraph.plans.relational import CONTENT, HUB, PRIORITY, SEMANTIC, hub
 from weftgraph.sources import documents
 from weftgraph.sources.graph import Graph
 
-NONE = F.lit(None).cast("string")
 TS = "TIMESTAMP '2026-01-01'"
 
 
+def _none():
+    return F.lit(None).cast("string")
+
+
 def lineage(g: Graph) -> DataFrame:
     """The log of versions as lineage rows."""
     return g.changesets.where("parent_version <> ''").select(F.col("kb_version").alias("new_uuid"), F.col("parent_version").alias("old_uuid"), F.lit("merged").alias("reason"), F.col("ts").alias("created_at"))
@@ -26,7 +29,7 @@ _LINEAGE = "l AS (SELECT kb_version AS new_uuid, parent_version AS old_uuid, 'me
 
 
 def conflicts(g: Graph) -> DataFrame:
-    return g.cross_references.select("id", F.col("target_entity").alias("entity_name"), F.col("source_entity").alias("conflicting_sources"), "kind", "resolution_status", F.col("reason").alias("resolution_note"), NONE.alias("resolved_by"))
+    return g.cross_references.select("id", F.col("target_entity").alias("entity_name"), F.col("source_entity").alias("conflicting_sources"), "kind", "resolution_status", F.col("reason").alias("resolution_note"), _none().alias("resolved_by"))
 
 
 def members(g: Graph) -> DataFrame:
@@ -37,6 +40,11 @@ def members(g: Graph) -> DataFrame:
 _MEMBERS = "m AS (SELECT node_uuid AS id, list_sort(list_distinct(list(member_id))) AS members FROM s GROUP BY node_uuid)"
 _CONCEPTS = "SELECT id FROM n WHERE label = 'Concept'"
 
+def _uuid(name: str) -> str:
+    digest = f"sha1(unhex('{identity.NAMESPACE.replace('-', '')}') || encode({name}))"
+    return f"(substr({digest}, 1, 8) || '-' || substr({digest}, 9, 4) || '-5' || substr({digest}, 14, 3) || '-' || substr('89ab', CAST('0x' || substr({digest}, 17, 1) AS INT) % 4 + 1, 1) || substr({digest}, 18, 3) || '-' || substr({digest}, 21, 12))"
+
+
 # Scans
 
 
@@ -217,12 +225,6 @@ def _(g):
     return temporal.record("v2", "v1", changes, temporal.diff_edges(*_edge_versions(g)), g.sources, measures)
 
 
-@query("a10_edge_counts", f"WITH {_EDGES} SELECT 'edge_added' AS change, (SELECT count(*) FROM (SELECT * FROM ew EXCEPT SELECT * FROM eo)) AS n UNION ALL SELECT 'edge_dropped', (SELECT count(*) FROM (SELECT * FROM eo EXCEPT SELECT * FROM ew))")
-def _(g):
-    nodes = temporal.diff_nodes(*_latest_pair(g)).where("false")
-    return temporal.diff_counts(nodes, temporal.diff_edges(*_edge_versions(g))).where("change like 'edge%'").select("change", "n")
-
-
 @query("u1_edges_both_ways", f"WITH {_EDGES} SELECT *, 'edge_added' AS change FROM (SELECT * FROM ew EXCEPT SELECT * FROM eo) UNION ALL SELECT *, 'edge_dropped' FROM (SELECT * FROM eo EXCEPT SELECT * FROM ew)")
 def _(g):
     return temporal.diff_edges(*_edge_versions(g))
@@ -270,7 +272,7 @@ def _edits(g: Graph) -> DataFrame:
     baseline, parsed = documents.sidecar(_parsed(g)), _parsed(g).where("kind = 'block'")
     which = g.nodes.where("label = 'Concept'").select(F.col("id").alias("uuid"), F.when(F.col("provenance") == "human_curated", "gone").otherwise("edited").alias("what"))
     now = parsed.join(which, "uuid", "left").where("what is null or what <> 'gone'").withColumn("body", F.when(F.col("what") == "edited", F.concat("body", F.lit(" more"))).otherwise(F.col("body"))).select(*parsed.columns)
-    outside = parsed.select("path").distinct().select("path", F.lit("outside").alias("kind"), NONE.alias("uuid"), F.lit(1).alias("first_line"), F.lit(1).alias("last_line"), F.lit("new text").alias("body"))
+    outside = parsed.select("path").distinct().select("path", F.lit("outside").alias("kind"), _none().alias("uuid"), F.lit(1).alias("first_line"), F.lit(1).alias("last_line"), F.lit("new text").alias("body"))
     return documents.classify_edits(now.unionByName(outside), baseline)
 
 
@@ -303,17 +305,12 @@ def _(g):
     return documents.planned_moves(baseline, present)
 
 
-@query("c10_primary", "SELECT file_path, node_uuid, count(*) OVER (PARTITION BY node_uuid) >= 2 AS shared, file_path = min(file_path) OVER (PARTITION BY node_uuid) AS \"primary\" FROM (SELECT DISTINCT file_path, node_uuid FROM s)")
-def _(g):
-    return documents.shared_nodes(g.sources)
-
-
 @query("p9_safe_sources", r"""SELECT node_uuid, member_id, file_path FROM s WHERE file_path <> '' AND NOT regexp_matches(file_path, '[\\:%\x00-\x1f]|^/|^\s|\s$|(^|/)\.{1,2}(/|$)|//')""")
 def _(g):
     return g.sources.where(documents.safe_path(F.col("file_path"))).select("node_uuid", "member_id", "file_path")
 
 
-@query("x1_hashes_changed", "SELECT file_path, max(CASE WHEN indexed_at >= TIMESTAMP '2026-01-01' THEN 1 ELSE 0 END) = 1 OR md5(file_path) < '8' AS changed FROM documents WHERE file_path IS NOT NULL AND indexed_at IS NOT NULL GROUP BY file_path")
+@query("x1_changed_files", "SELECT file_path, max(CASE WHEN indexed_at >= TIMESTAMP '2026-01-01' THEN 1 ELSE 0 END) = 1 OR md5(file_path) < '8' AS changed FROM documents WHERE file_path IS NOT NULL AND indexed_at IS NOT NULL GROUP BY file_path")
 def _(g):
     rows = g.raw("documents").where("file_path is not null and indexed_at is not null").groupBy("file_path").agg(F.max("indexed_at").alias("t"))
     url, digest = F.lit("repo").alias("repo_url"), F.md5("file_path")
@@ -350,6 +347,14 @@ def _(g):
     return mutate.rename_nodes(g.nodes, names).select("id", "name")
 
 
+@query("c13_split_check", f"WITH {_MEMBERS}, p AS (SELECT m.id, members FROM m JOIN n ON n.id = m.id WHERE label IN {CONTENT} AND len(members) > 1) SELECT {_uuid('members[1]')} AS new_uuid, id AS old_uuid, 'split' AS reason FROM p UNION ALL SELECT {_uuid(chr(39) + chr(39) + ' || array_to_string(members[2:], ' + chr(39) + ',' + chr(39) + ')')}, id, 'split' FROM p")
+def _(g):
+    """Every node with at least two members, split into its first member and the others."""
+    own = members(g).join(graph.semantic_nodes(g.nodes).select("id"), "id", "left_semi").where("size(members) > 1")
+    parts = own.select("id", F.explode(F.array(F.struct(F.lit("a").alias("name"), F.slice("members", 1, 1).alias("members")), F.struct(F.lit("b").alias("name"), F.slice(F.col("members"), F.lit(2), F.size("members") - 1).alias("members")))).alias("p")).select("id", "p.name", "p.members")
+    return mutate.split_nodes(g.nodes, g.sources, parts, identity.node_uuid(F.col("members")))["lineage"]
+
+
 @query("u7_inexact_parts", f"WITH {_MEMBERS} SELECT m.id FROM m WHERE len(members) >= 3")
 def _(g):
     """Splits that leave a member out, of nodes with three or more: all are rejected."""
@@ -467,7 +472,7 @@ def _(g):
     return graph.subgraph(found, reported).select("qid", "part", "id", "hop")
 
 
-@query("g10_component_labels", f"WITH own AS (SELECT DISTINCT id FROM n WHERE label IN {CONTENT}), sem AS (SELECT DISTINCT source_id AS a, target_id AS b FROM e WHERE kind = 'contradicts' AND source_id <> target_id AND source_id IN (SELECT id FROM own) AND target_id IN (SELECT id FROM own)), both_ways AS (SELECT a, b FROM sem UNION SELECT b, a FROM sem), reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a) SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a", recursive=True)
+@query("g10_components", f"WITH own AS (SELECT DISTINCT id FROM n WHERE label IN {CONTENT}), sem AS (SELECT DISTINCT source_id AS a, target_id AS b FROM e WHERE kind = 'contradicts' AND source_id <> target_id AND source_id IN (SELECT id FROM own) AND target_id IN (SELECT id FROM own)), both_ways AS (SELECT a, b FROM sem UNION SELECT b, a FROM sem), reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a) SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a", recursive=True)
 def _(g):
     """Each node with the component it belongs to, by contradictions alone (so that SQL can follow)."""
     return graph.connected_components(graph.semantic_edges(g.nodes, g.edges).where("kind = 'contradicts'"), "source_id", "target_id")
@@ -517,12 +522,7 @@ def _(g):
 # Resolution and building
 
 
-def _uuid(name: str) -> str:
-    digest = f"sha1(unhex('{identity.NAMESPACE.replace('-', '')}') || encode({name}))"
-    return f"(substr({digest}, 1, 8) || '-' || substr({digest}, 9, 4) || '-5' || substr({digest}, 14, 3) || '-' || substr('89ab', CAST('0x' || substr({digest}, 17, 1) AS INT) % 4 + 1, 1) || substr({digest}, 18, 3) || '-' || substr({digest}, 21, 12))"
-
-
-@query("e4_uuids", f"WITH {_MEMBERS} SELECT id, {_uuid(chr(39) + chr(39) + ' || array_to_string(members, ' + chr(39) + ',' + chr(39) + ')')} AS uuid FROM m")
+@query("e4_node_uuids", f"WITH {_MEMBERS} SELECT id, {_uuid(chr(39) + chr(39) + ' || array_to_string(members, ' + chr(39) + ',' + chr(39) + ')')} AS uuid FROM m")
 def _(g):
     return members(g).select("id", identity.node_uuid(F.col("members")).alias("uuid"))
 
@@ -544,6 +544,15 @@ def _(g):
 _BASE = "regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(lower(name), '[^a-z0-9-]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g'), 40), '-+$', '')"
 
 
+_SLUGS = f"b AS (SELECT id, domain, subdomain, label, CASE WHEN {_BASE} <> '' THEN {_BASE} WHEN name IS NOT NULL THEN 'node-' || printf('%x', CAST({_FNV} AS BIGINT)) END AS slug FROM n WHERE name <> ''), k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY domain NULLS FIRST, subdomain NULLS FIRST, label NULLS FIRST, id) AS k FROM b)"
+
+
+@query("e7_file_slugs", f"WITH {_SLUGS} SELECT id, CASE WHEN k = 1 THEN slug WHEN slug || '-' || k IN (SELECT slug FROM k WHERE k = 1) THEN slug || '-' || k || '-' || left(sha1(id), 6) ELSE slug || '-' || k END AS file_slug FROM k")
+def _(g):
+    """File slugs of all named nodes, made unique in order of place and id."""
+    return resolve.numbered_slugs(g.nodes.where("name <> ''").select("id", "name", "domain", "subdomain", "label"), identity.file_slug(F.col("name")), ["domain", "subdomain", "label", "id"])
+
+
 @query("e7_slug_bases", f"SELECT id, CASE WHEN {_BASE} <> '' THEN {_BASE} ELSE 'node-' || printf('%x', CAST({_FNV} AS BIGINT)) END AS slug FROM n WHERE name <> ''")
 def _(g):
     return g.nodes.where("name <> ''").select("id", identity.file_slug(F.col("name")).alias("slug"))
@@ -583,7 +592,7 @@ def _decisions(g: Graph) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     alias = F.when(F.col("k") == 0, "e1").when(F.col("k") == 1, "s1")
     rows = units.where("k <> 5").select("unit_id", action.alias("action"), alias.alias("alias"), F.when(F.col("k") == 2, F.when(F.col("tag") == "entity", "g1").otherwise("g9")).alias("group_id"), F.when((F.col("k") == 3) & (F.col("tag") == "concept"), F.lit(" ")).otherwise(F.lit("name")).alias("name"), "tag")
     rows = rows.where("action <> 'burn'").unionByName(rows.where("action = 'burn'").withColumn("k2", F.lit(1)).drop("k2"))
-    twice = units.where("k = 6").select("unit_id", F.lit("new_subdomain").alias("action"), NONE.alias("alias"), NONE.alias("group_id"), F.lit("name").alias("name"), "tag")
+    twice = units.where("k = 6").select("unit_id", F.lit("new_subdomain").alias("action"), _none().alias("alias"), _none().alias("group_id"), F.lit("name").alias("name"), "tag")
     return rows.join(units.where("k = 6").select("unit_id"), "unit_id", "left_anti").unionByName(twice).unionByName(twice), units, aliases, groups
 
 
@@ -610,7 +619,7 @@ def _(g):
 
 @query("e18_assertions", "SELECT source_id, target_id, kind, CAST(count(DISTINCT coalesce(description, '')) AS INTEGER) AS n FROM e WHERE source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY source_id, target_id, kind")
 def _(g):
-    rows = g.edges.where("source_id is not null and target_id is not null").select("source_id", "target_id", "kind", NONE.alias("state"), NONE.alias("quote"), F.col("description").alias("text"))
+    rows = g.edges.where("source_id is not null and target_id is not null").select("source_id", "target_id", "kind", _none().alias("state"), _none().alias("quote"), F.col("description").alias("text"))
     parsed = F.from_json("assertions", "array<struct<state:string,quote:string,text:string>>")
     return build.coalesce_assertions(rows).select("source_id", "target_id", "kind", F.size(parsed).alias("n"))
 
@@ -731,7 +740,7 @@ def _(g):
     return g.nodes.where("label = 'Entity'").select("id", build.persisted_name(F.concat(F.lit(" "), "name", F.lit("\t"))).alias("name"), build.persisted_summary(F.col("description")).alias("description"))
 
 
-@query("fn6_fences", "SELECT id, trim(summary) AS summary FROM n WHERE trim(summary) <> '' AND NOT contains(summary, '`')")
+@query("fn6_fences", "SELECT id, regexp_replace(summary, '^\\s+|\\s+$', '', 'g') AS summary FROM n WHERE trim(summary) <> '' AND NOT contains(summary, '`')")
 def _(g):
     fenced = F.concat(F.lit(" ```json\n"), F.trim("summary"), F.lit("\n```\n"))
     return g.nodes.where("trim(summary) <> '' and not contains(summary, '`')").select("id", build.without_fence(fenced).alias("summary"))
@@ -764,12 +773,6 @@ def _(g):
     return g.sources.select("node_uuid", "member_id", "file_path", *[c.alias(k) for k, c in build.normalize_span(F.col("start_line"), F.col("end_line")).items()])
 
 
-@query("fn24_windows", "WITH t AS (SELECT DISTINCT chunk_id, len(regexp_extract_all(text, '\\S+')) AS k FROM chunks WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7f]*')), w AS (SELECT chunk_id, k, unnest(range(0, greatest(k - 1 - CASE WHEN k > 256 THEN 32 ELSE k END, 0) + 1, 224)) AS a FROM t WHERE k > 0) SELECT chunk_id AS key, CAST(a AS INTEGER) AS first_token, CAST(least(256, k - a) AS INTEGER) AS n_tokens FROM w")
-def _(g):
-    own = g.raw("chunks").where("text is not null and octet_length(text) = length(text)").select("chunk_id", "text").distinct()
-    return documents.token_windows(own, "chunk_id", "text").select("key", "first_token", "n_tokens")
-
-
 @query("u4_united", "SELECT DISTINCT result_id, list_sort(list_distinct(list_concat(coalesce(citations, []), coalesce(invalid_citations, [])))) AS refs FROM results")
 def _(g):
     none = F.array().cast("array<string>")
@@ -829,6 +832,6 @@ def _(g):
 _PART = "CAST('0x' || substr(md5(json_object('kind', kind, 'source_id', source_id, 'target_id', target_id)), {}, 15) AS BIGINT)"
 
 
-@query("m12_identity", f"WITH r AS (SELECT {_PART.format(1)} AS a, {_PART.format(16)} AS b FROM e) SELECT count(*) AS n, sha256(count(*) || '|' || bit_xor(a) || '|' || bit_xor(b) || '|' || CAST(sum(a % 2147483648) AS BIGINT)) AS digest FROM r")
+@query("m12_table_identity", f"WITH r AS (SELECT {_PART.format(1)} AS a, {_PART.format(16)} AS b FROM e) SELECT count(*) AS n, sha256(count(*) || '|' || bit_xor(a) || '|' || bit_xor(b) || '|' || CAST(sum(a % 2147483648) AS BIGINT)) AS digest FROM r")
 def _(g):
     return identity.table_identity(g.edges.select("source_id", "target_id", "kind"))

@@ -20,7 +20,8 @@ SEARCH_FIELDS = list(search.FIELDS)
 
 
 def node_index(g: Graph) -> search.Index:
-    return search.Index(g.nodes, "id", SEARCH_FIELDS)
+    """The index of all nodes, kept in the shared folder until the table changes."""
+    return search.Index.of_table(g.raw("nodes"), g.nodes, "id", SEARCH_FIELDS)
 
 
 _FOLD = "regexp_extract_all(strip_accents(lower(coalesce({}, ''))), '[\\p{{L}}\\p{{N}}]+')"
@@ -189,12 +190,6 @@ def _(g):
     return graph.louvain(graph.semantic_nodes(g.nodes), graph.semantic_edges(g.nodes, g.edges).withColumn("id", F.xxhash64("source_id", "target_id", "kind")))
 
 
-@query("g10_components", f"WITH {_SEM}, both_ways AS (SELECT source_id AS a, target_id AS b FROM sem UNION SELECT target_id, source_id FROM sem), ids AS (SELECT DISTINCT a FROM both_ways) SELECT count(*) AS n_ids FROM ids")
-def _(g):
-    label = graph.connected_components(graph.semantic_edges(g.nodes, g.edges), "source_id", "target_id")
-    return label.agg(F.count(F.lit(1)).alias("n_ids"))
-
-
 @query("g11_incident", f"SELECT id FROM e WHERE source_id = {_HUBS.replace('LIMIT 20', 'LIMIT 1')} OR target_id = {_HUBS.replace('LIMIT 20', 'LIMIT 1')}")
 def _(g):
     one = g.edges.join(g.nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi").groupBy(F.col("target_id").alias("hub")).count().orderBy(F.col("count").desc(), "hub").limit(1).select("hub")
@@ -233,11 +228,11 @@ def _(g):
     return temporal.diff_nodes(*_latest_pair(g)).select("id", "category")
 
 
-@query("a10_diff_counts", f"WITH {_LATEST}, d AS (SELECT {_CATEGORY} AS change FROM o FULL JOIN w ON o.id = w.id), k(ord, change) AS (VALUES (0, 'added'), (1, 'deleted'), (2, 'merged_into'), (3, 'split_into'), (4, 'migrated'), (5, 'renamed'), (6, 'content'), (7, 'unchanged'), (8, 'edge_added'), (9, 'edge_dropped')) SELECT ord, k.change, count(d.change) AS n FROM k LEFT JOIN d ON d.change = k.change GROUP BY ord, k.change")
+@query("a10_diff_counts", f"WITH {_LATEST}, ed AS (SELECT 'edge_added' AS change FROM (SELECT DISTINCT source_id, target_id, kind FROM e WHERE kind <> 'contradicts' EXCEPT SELECT source_id, target_id, kind FROM e WHERE created_at < TIMESTAMP '2026-01-01' OR kind = 'contradicts') UNION ALL SELECT 'edge_dropped' FROM (SELECT DISTINCT source_id, target_id, kind FROM e WHERE created_at < TIMESTAMP '2026-01-01' OR kind = 'contradicts' EXCEPT SELECT source_id, target_id, kind FROM e WHERE kind <> 'contradicts')), d AS (SELECT {_CATEGORY} AS change FROM o FULL JOIN w ON o.id = w.id UNION ALL SELECT change FROM ed), k(ord, change) AS (VALUES (0, 'added'), (1, 'deleted'), (2, 'merged_into'), (3, 'split_into'), (4, 'migrated'), (5, 'renamed'), (6, 'content'), (7, 'unchanged'), (8, 'edge_added'), (9, 'edge_dropped')) SELECT ord, k.change, count(d.change) AS n FROM k LEFT JOIN d ON d.change = k.change GROUP BY ord, k.change")
 def _(g):
     nodes = temporal.diff_nodes(*_latest_pair(g))
-    none = g.spark.createDataFrame([], "source_id string, target_id string, kind string, change string")
-    return temporal.diff_counts(nodes, none)
+    edges = temporal.diff_edges(g.edges.where("created_at < timestamp_ntz'2026-01-01' or kind = 'contradicts'"), g.edges.where("kind <> 'contradicts'"))
+    return temporal.diff_counts(nodes, edges)
 
 
 @query("u1_edge_changes", "SELECT source_id, target_id, kind, 'edge_added' AS change FROM (SELECT source_id, target_id, kind FROM e EXCEPT SELECT source_id, target_id, kind FROM e WHERE created_at < TIMESTAMP '2026-01-01')")
@@ -303,12 +298,6 @@ def _(g):
     return resolve.conflicts(g.nodes)
 
 
-@query("e4_node_uuids")
-def _(g):
-    members = g.sources.groupBy("node_uuid").agg(F.collect_set("member_id").alias("members"))
-    return members.select("node_uuid", identity.node_uuid(F.col("members")).alias("uuid"))
-
-
 @query("e5_unit_ids", "SELECT DISTINCT node_uuid, member_id, substr(sha256('[\"' || skill || '\",\"entity\",\"' || member_id || '\",\"\",\"\"]'), 1, 12) AS hash FROM s WHERE skill <> ''")
 def _(g):
     empty = F.lit("")
@@ -316,11 +305,6 @@ def _(g):
     return g.sources.where("skill <> ''").select("node_uuid", "member_id", F.substring(unit, -12, 12).alias("hash")).distinct()
 
 
-@query("e7_file_slugs")
-def _(g):
-    return resolve.numbered_slugs(g.nodes.select("id", "name", "domain", "subdomain", "label"), identity.file_slug(F.col("name")), ["domain", "subdomain", "label", "id"])
-
-
 def _candidates(g: Graph) -> DataFrame:
     members = g.sources.groupBy(F.col("node_uuid").alias("id")).agg(F.array_sort(F.collect_set("member_id")).alias("members"), F.array_sort(F.collect_set("skill")).alias("skills"))
     synonyms = F.filter(F.split(F.coalesce("synonyms", F.lit("")), " "), lambda x: x != "")
@@ -333,7 +317,7 @@ def _(g):
     return resolve.fuse(_candidates(g)).select("scope", "label", "name", "alias", "confidence", F.size("aliases").cast("long").alias("n_aliases"))
 
 
-@query("e11_candidates", f"SELECT id, label, max(confidence) AS confidence FROM n WHERE label IN {CONTENT} AND id <> '' AND confidence BETWEEN 0 AND 1 GROUP BY id, label")
+@query("p11_candidates", f"SELECT id, label, max(confidence) AS confidence FROM n WHERE label IN {CONTENT} AND id <> '' AND confidence BETWEEN 0 AND 1 GROUP BY id, label")
 def _(g):
     rows = graph.semantic_nodes(g.nodes).select("id", "label", "name", "summary", "description", F.array().cast("array<string>").alias("synonyms"), F.array().cast("array<string>").alias("skills"), "confidence")
     return resolve.select_candidates(rows).select("id", "label", "confidence")
@@ -351,7 +335,7 @@ def _(g):
     return resolve.aliases(g.nodes.where("subdomain is not null"))
 
 
-@query("k16_resolved_references")
+@query("k16_resolved_references", "WITH by_name AS (SELECT name, min(id) AS id FROM n WHERE name <> '' GROUP BY name), t AS (SELECT DISTINCT target_entity FROM x), syn AS (SELECT target_entity, min(n.id) AS id FROM t JOIN n ON n.synonyms <> '' AND lower(n.synonyms) LIKE '%' || lower(target_entity) || '%' WHERE target_entity <> '' GROUP BY 1) SELECT x.id, coalesce(a.id, b.id, syn.id) AS resolved_id, CASE WHEN coalesce(a.id, b.id, syn.id) IS NULL THEN 'external_kg' ELSE 'resolved' END AS resolution FROM x LEFT JOIN by_name a ON a.name = target_entity LEFT JOIN (SELECT DISTINCT id FROM n) b ON b.id = target_entity LEFT JOIN syn USING (target_entity)")
 def _(g):
     refs = g.cross_references.select("id", "target_entity")
     return resolve.resolve_references(refs, g.nodes).select("id", "resolved_id", "resolution")
@@ -369,11 +353,3 @@ def _(g):
     own = g.sources.join(graph.semantic_nodes(g.nodes).select(F.col("id").alias("node_uuid")), "node_uuid", "left_semi").groupBy(F.col("node_uuid").alias("id")).agg(F.array_sort(F.collect_set("member_id")).alias("members"))
     cleaned = resolve.clean_members(own.withColumn("ord", F.col("id")), g.sources.select(F.col("member_id").alias("unit_id")))
     return cleaned.select("id", F.size("members").cast("long").alias("n_members")).where("n_members > 0")
-
-
-@query("c13_split_check")
-def _(g):
-    """Every node with at least two members, split into its first member and the others."""
-    own = g.sources.join(graph.semantic_nodes(g.nodes).select(F.col("id").alias("node_uuid"), "name"), "node_uuid").groupBy(F.col("node_uuid").alias("id"), "name").agg(F.array_sort(F.collect_set("member_id")).alias("m")).where("size(m) > 1")
-    parts = own.select("id", F.explode(F.array(F.struct(F.concat("name", F.lit(" 1")).alias("name"), F.slice("m", 1, 1).alias("members")), F.struct(F.concat("name", F.lit(" 2")).alias("name"), F.slice("m", F.lit(2), F.size("m") - 1).alias("members")))).alias("p")).select("id", "p.name", "p.members")
-    return mutate.split_nodes(g.nodes, g.sources, parts, identity.node_uuid(F.col("members")))["lineage"]

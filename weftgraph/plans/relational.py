@@ -185,8 +185,7 @@ def _(g):
 
 @query("f_safe_paths", r"""SELECT file_path, count(*) AS n FROM node_sources WHERE file_path IS NOT NULL AND NOT regexp_matches(file_path, '[\\:%\x00-\x1f]|^/|^\s|\s$|(^|/)\.{1,2}(/|$)|//') AND file_path <> '' GROUP BY file_path""")
 def _(g):
-    bad = F.col("file_path").rlike(r"[\\:%\x00-\x1f]|^/|^\s|\s$|(^|/)\.{1,2}(/|$)|//")
-    return g.raw("node_sources").where(F.col("file_path").isNotNull() & ~bad & (F.col("file_path") != "")).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    return g.raw("node_sources").where(documents.safe_path(F.col("file_path"))).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("f_edge_defaults", "SELECT id, CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence ELSE 0.8 END AS confidence, CASE WHEN provenance IN ('extraction', 'llm_inferred', 'human_curated') THEN provenance ELSE 'llm_inferred' END AS provenance FROM e")
@@ -202,10 +201,11 @@ def _(g):
     return bad.agg(F.count(F.lit(1)).alias("dangling_edges")).join(F.broadcast(wrong.agg(F.count(F.lit(1)).alias("sources_on_structure"))), F.lit(True))
 
 
-@query("f_contract", "SELECT 'nodes' AS table_name, 0 AS n_violations UNION ALL SELECT 'edges', 0 UNION ALL SELECT 'node_sources', 0 UNION ALL SELECT 'cross_references', 0")
+@query("f_contract", "SELECT 'nodes' AS table_name, 0 AS n_violations UNION ALL SELECT 'edges', 0 UNION ALL SELECT 'changesets', (SELECT count(*) FROM (VALUES ('id'), ('source_id'), ('target_id'), ('kind'), ('description'), ('properties'), ('provenance'), ('confidence'), ('source_refs'), ('bidirectional'), ('cardinality'), ('created_at')) v(c) WHERE c NOT IN (SELECT column_name FROM (DESCRIBE changesets))) UNION ALL SELECT 'retyped', 2")
 def _(g):
-    rows = [(t, len(schemas.violations(g.raw(t), s))) for t, s in schemas.CONTRACT.items()]
-    return g.spark.createDataFrame(rows, "table_name string, n_violations int")
+    """The contract of two tables; a table without its columns, and one with two columns of another type, break it."""
+    have = [("nodes", g.raw("nodes"), schemas.NODES), ("edges", g.raw("edges"), schemas.EDGES), ("changesets", g.raw("changesets"), schemas.EDGES), ("retyped", g.raw("edges").withColumns({"confidence": F.lit("x"), "kind": F.lit(1)}), schemas.EDGES)]
+    return g.spark.createDataFrame([(t, len(schemas.violations(df, s))) for t, df, s in have], "table_name string, n_violations int")
 
 
 @query("j2_skills_of_domains", "SELECT DISTINCT n.domain, s.skill FROM s JOIN n ON n.id = s.node_uuid")
@@ -412,11 +412,6 @@ def _(g):
     return once.groupBy("arm").agg(F.round(F.sum("elapsed_seconds"), 6).alias("seconds"), F.sum(F.nullif(F.size("citations"), F.lit(-1))).alias("citations"))
 
 
-@query("m12_table_identity")
-def _(g):
-    return identity.table_identity(g.edges.select("source_id", "target_id", "kind"))
-
-
 @query("x5_node_sources_report", r"""SELECT node_uuid, count(DISTINCT file_path) FILTER (WHERE ok) AS n_files, count(*) FILTER (WHERE NOT ok) AS n_omitted, CASE WHEN count(*) FILTER (WHERE ok AND span) > 0 THEN 'available' ELSE 'unknown' END AS span_status
 FROM (SELECT node_uuid, file_path, coalesce(start_line >= 1 AND end_line >= start_line, false) AS span, NOT regexp_matches(file_path, '[\\:%\x00-\x1f]|^/|(^|/)\.{1,2}(/|$)|//') AND file_path <> '' AS ok FROM s) GROUP BY node_uuid""")
 def _(g):
@@ -472,7 +467,7 @@ def _(g):
     return documents.char_chunks(g.raw("chunks").select("chunk_id", "text").distinct(), "chunk_id", "text").select("key", "start_char", "end_char", "start_line")
 
 
-@query("fn_token_windows")
+@query("fn_token_windows", "WITH t AS (SELECT chunk_id, k FROM (SELECT DISTINCT chunk_id, text, len(regexp_extract_all(text, '\\S+')) AS k FROM chunks WHERE text IS NOT NULL)), w AS (SELECT chunk_id, k, unnest(range(0, greatest(k - 1 - CASE WHEN k > 256 THEN 32 ELSE k END, 0) + 1, 224)) AS a FROM t WHERE k > 0) SELECT chunk_id AS key, CAST(a / 224 AS INTEGER) AS piece, CAST(a AS INTEGER) AS first_token, CAST(least(256, k - a) AS INTEGER) AS n_tokens FROM w")
 def _(g):
     return documents.token_windows(g.raw("chunks").select("chunk_id", "text").distinct(), "chunk_id", "text").select("key", "piece", "first_token", "n_tokens")
 
@@ -536,15 +531,12 @@ def _(g):
 @query("k26_move_documents", "SELECT node_uuid, member_id, replace(file_path, '/references/', '/refs/') AS file_path FROM s")
 def _(g):
     moves = g.sources.where("file_path like '%/references/%'").select(F.col("file_path").alias("old_path"), F.replace("file_path", F.lit("/references/"), F.lit("/refs/")).alias("new_path")).distinct()
-    joined = g.sources.join(moves.withColumnRenamed("old_path", "file_path"), "file_path", "left")
-    return joined.select("node_uuid", "member_id", F.coalesce("new_path", "file_path").alias("file_path"))
+    return mutate.move_documents(g.sources, moves).select("node_uuid", "member_id", "file_path")
 
 
-@query("c10_shared_nodes", "SELECT file_path, node_uuid, count(*) OVER (PARTITION BY node_uuid) >= 2 AS shared FROM (SELECT DISTINCT file_path, node_uuid FROM s)")
+@query("c10_shared_nodes", "SELECT file_path, node_uuid, count(*) OVER (PARTITION BY node_uuid) >= 2 AS shared, file_path = min(file_path) OVER (PARTITION BY node_uuid) AS \"primary\" FROM (SELECT DISTINCT file_path, node_uuid FROM s)")
 def _(g):
-    views = g.sources.select("file_path", "node_uuid").distinct()
-    many = views.groupBy("node_uuid").agg((F.count(F.lit(1)) >= 2).alias("shared"))
-    return views.join(many, "node_uuid").select("file_path", "node_uuid", "shared")
+    return documents.shared_nodes(g.sources)
 
 
 _MERGE = f"same AS (SELECT lower(name) AS set_id, id FROM n WHERE label IN {CONTENT} AND name <> ''), sets AS (SELECT set_id, id FROM same WHERE set_id IN (SELECT set_id FROM same GROUP BY set_id HAVING count(*) > 1)), m AS (SELECT node_uuid AS id, count(DISTINCT member_id) AS k FROM s GROUP BY 1), r AS (SELECT set_id, sets.id, first_value(sets.id) OVER (PARTITION BY set_id ORDER BY coalesce(k, 0) DESC, sets.id) AS survivor FROM sets LEFT JOIN m ON m.id = sets.id)"
@@ -573,11 +565,3 @@ def _(g):
 @query("k25_stale_provides", "SELECT e.id FROM e WHERE kind = 'provides' AND provenance <> 'human_curated' AND (source_id, target_id) NOT IN (SELECT DISTINCT ('skill::' || s.skill, 'domain::' || n.domain) FROM s JOIN n ON n.id = s.node_uuid WHERE s.skill <> '')")
 def _(g):
     return mutate.stale_provides(g.edges, g.nodes, g.sources).select("id")
-
-
-@query("x1_changed_files", "WITH last AS (SELECT file_path, max(indexed_at) AS t FROM documents WHERE file_path IS NOT NULL GROUP BY 1) SELECT file_path, t >= TIMESTAMP '2026-01-01' AS changed FROM last")
-def _(g):
-    rows = g.raw("documents").where("file_path is not null").groupBy("file_path").agg(F.max("indexed_at").alias("t"))
-    old = rows.where("t < timestamp_ntz'2026-01-01'").select(F.lit("repo").alias("repo_url"), "file_path", F.lit("same").alias("content_hash"))
-    now = rows.select(F.lit("repo").alias("repo_url"), "file_path", F.lit("same").alias("content_hash"))
-    return mutate.changed_files(old, now).select("file_path", "changed")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import re
 import tempfile
 import uuid
@@ -54,3 +55,32 @@ def release(df: DataFrame) -> None:
     """Removes the files of a written table no later step reads. Other frames are left alone."""
     if path := getattr(df, "_written", None):
         _remove(df.sparkSession, path)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """What the files below a frame are: their paths, lengths and times. Another write gives another fingerprint."""
+    spark = df.sparkSession
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    seen = []
+    for name in sorted(df.inputFiles()):
+        p = path(name)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        seen.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:24]
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder under a name, once: where it stands there already it is read, by whatever session.
+
+    The name must hold a `fingerprint` of what `df` is made of. A table appears by one rename, so none is read half.
+    """
+    spark = df.sparkSession
+    target = f"{shared_dir(spark)}/kept-{name}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(target)):
+        staged = f"{target}.{uuid.uuid4().hex}"
+        df.write.parquet(staged)
+        if fs.exists(path(target)) or not fs.rename(path(staged), path(target)):
+            _remove(spark, staged)  # another session was first
+    return spark.read.schema(df.schema).parquet(target)
