@@ -85,12 +85,13 @@ PHRASES = {
 _FAMILIES = sorted({f for f, _ in PHRASES})
 _LANGUAGES = ("en", "de", "fr", "es", "zh")
 _WORD = re.compile(r"[㐀-䶿一-鿿]|[^\W_㐀-䶿一-鿿]+")
-_REASON = re.compile(rf"\W*(?:(?:http|error|status|code)\W*)*(?:[45]\d\d\W+)?(?:{'|'.join(map(re.escape, REASONS))})\W*", re.I)
+_REASON = re.compile(rf"\W*(?:(?:http|error|status|code)\W*)*(?:[45]\d\d\W+)?(?:{'|'.join(map(re.escape, REASONS))})\W*")
 _SIGNS = re.compile(r"[{}<>\[\]%@$（）【】《》]")
 _LETTER = re.compile(r"[^\W\d_]")
-_MENTION = re.compile(rf"\b[45]\d\d\s+(?:{'|'.join(map(re.escape, REASONS))})\b", re.I)
-_STATUS = re.compile(r"\W*(?:(?:http|error|status|code|erreur|fehler|código|错误)\W*)+[45]\d\d\b.{0,40}|[45]\d\d\W.{0,40}", re.I | re.S)
-_LATIN = re.compile(r"^\W*lorem ipsum|ipsum.*(?:ipsum|lorem|dolor|amet)|(?:dolor|amet).*ipsum", re.I)
+_MENTION = re.compile(rf"\b[45]\d\d\s+(?:{'|'.join(map(re.escape, REASONS))})\b")
+_STATUS = re.compile(r"\W*(?:(?:http|error|status|code|erreur|fehler|código|错误)\W*)+[45]\d\d\b.{0,40}|[45]\d\d\W.{0,40}", re.S)
+_LATIN = re.compile(r"^\W*lorem ipsum|ipsum.*(?:ipsum|lorem|dolor|amet)|(?:dolor|amet).*ipsum")
+_ANY = re.compile("|".join(PHRASES.values()))
 #: A segment that a phrase may stand for has at most so many words; one with more speaks about it.
 SHORT = 12
 # Shapes of placeholders that leave no doubt; the weak label of the sample. %s: what is to be filled in.
@@ -176,7 +177,7 @@ def _breaks(codes: np.ndarray) -> np.ndarray:
 
 @lru_cache(1)
 def _phrases() -> dict[tuple[str, str], re.Pattern]:
-    return {k: re.compile(v, re.I) for k, v in PHRASES.items()}
+    return {k: re.compile(v) for k, v in PHRASES.items()}
 
 
 def _length(text: str) -> float:
@@ -190,18 +191,21 @@ def weak_label(segment: str, left_out: str | None = None) -> bool | None:
         return False
     if left_out != "shapes" and _SHAPE.search(segment):
         return True
-    if left_out not in ("en", "down", "missing", "denied") and _REASON.fullmatch(segment):
+    low = segment.lower()
+    if left_out not in ("en", "down", "missing", "denied") and _REASON.fullmatch(low):
         return True
-    if left_out not in ("filler", "en") and _LATIN.search(segment):
+    if left_out not in ("filler", "en") and _LATIN.search(low):
         return True
-    if left_out not in ("filler", "en") and len(found := _WORD.findall(segment.lower())) >= 6 and len(set(found)) <= 3:
+    if left_out not in ("filler", "en") and len(found := _WORD.findall(low)) >= 6 and len(set(found)) <= 3:
         return True
-    words = _length(segment)
-    if words > SHORT and _MENTION.search(segment):
+    words = _length(low)
+    if words > SHORT and _MENTION.search(low):
         return False
-    status = left_out not in ("down", "missing", "denied") and words <= 8 and _STATUS.fullmatch(segment) is not None
+    if not _ANY.search(low):
+        return None
+    status = left_out not in ("down", "missing", "denied") and words <= 8 and _STATUS.fullmatch(low) is not None
     for key, pattern in _phrases().items():
-        if left_out not in key and (m := pattern.search(segment)):
+        if left_out not in key and (m := pattern.search(low)):
             if words > SHORT:
                 return False
             if status or _length(m.group(0)) >= 0.25 * words:
