@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import fulltext, identity, text
 from weftgraph.operators import build, evaluate, graph, mutate, resolve, search, temporal
-from weftgraph.plans.knowledge import _BM25, _CATEGORY, _FOLD, _LATEST, _SCORES, _STRUCT_AS, SEARCH_FIELDS, TEXT_QUERIES, _latest_pair, _query_rows, node_index
+from weftgraph.plans.knowledge import _BM25, _CATEGORY, _FOLD, _LATEST, _SCORES, _STARTS, _STRUCT_AS, SEARCH_FIELDS, TEXT_QUERIES, _entries, _latest_pair, _query_rows, node_index
 from weftgraph.plans.registry import query
 from weftgraph.plans.relational import CONTENT, HUB, PRIORITY, SEMANTIC, hub
 from weftgraph.sources import documents
@@ -463,11 +463,9 @@ def _(g):
     return search.lexical(windows.withColumn("id", F.concat_ws("#", "key", "start_char")), "id", "text", ["ledger", "quota"], 20)
 
 
-@query("g6_subgraph", f"WITH hubs AS (SELECT target_id AS id FROM e WHERE target_id IN (SELECT id FROM n) GROUP BY target_id ORDER BY count(*) DESC, target_id LIMIT 20), out_ AS (SELECT e.source_id AS qid, e.id AS edge_id, e.target_id FROM e WHERE source_id IN (SELECT id FROM hubs) AND confidence >= 0.3 AND target_id <> source_id AND target_id IN (SELECT id FROM n)) SELECT id AS qid, 'entity' AS part, id, 0 AS hop FROM hubs UNION ALL SELECT DISTINCT qid, 'entity', target_id, 1 FROM out_ UNION ALL SELECT qid, 'relation', CAST(edge_id AS VARCHAR), 1 FROM out_")
+@query("g6_subgraph", f"WITH starts AS {_STARTS}, out_ AS (SELECT starts.qid, e.id AS edge_id, e.target_id FROM e JOIN starts ON e.source_id = starts.id WHERE confidence >= 0.3 AND target_id <> source_id AND target_id IN (SELECT id FROM n)) SELECT qid, 'entity' AS part, id, 0 AS hop FROM starts UNION ALL SELECT DISTINCT qid, 'entity', target_id, 1 FROM out_ UNION ALL SELECT qid, 'relation', CAST(edge_id AS VARCHAR), 1 FROM out_")
 def _(g):
-    """The neighbourhoods of the hubs as parts with their hop."""
-    from weftgraph.plans.knowledge import _entries
-
+    """The neighbourhoods of the starts as parts with their hop."""
     found, reported = graph.bfs(g.nodes, g.edges, _entries(g), 1, 0.3, limit=_EVERY)
     return graph.subgraph(found, reported).select("qid", "part", "id", "hop")
 

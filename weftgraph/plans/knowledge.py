@@ -114,14 +114,19 @@ def _(g):
 _HUBS = "(SELECT target_id FROM e WHERE target_id IN (SELECT id FROM n) GROUP BY target_id ORDER BY count(*) DESC, target_id LIMIT 20)"
 
 
+#: Where traversals begin: the targets of every cross reference whose id is divisible by 20.
+_STARTS = "(SELECT DISTINCT CAST(id AS VARCHAR) AS qid, target_node_id AS id FROM x WHERE id % 20 = 0 AND target_node_id IN (SELECT id FROM n))"
+
+
 def _entries(g: Graph) -> DataFrame:
-    ids = g.edges.join(g.nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi").groupBy(F.col("target_id").alias("id")).count().orderBy(F.col("count").desc(), "id").limit(20)
-    return ids.select(F.col("id").alias("qid"), "id", F.lit(1).alias("pos"))
+    known = g.nodes.select(F.col("id").alias("target_node_id"))
+    starts = g.cross_references.where("id % 20 = 0").join(known, "target_node_id", "left_semi")
+    return starts.select(F.col("id").cast("string").alias("qid"), F.col("target_node_id").alias("id"), F.lit(1).alias("pos")).distinct()
 
 
 @query(
     "g1_bfs_depths",
-    f"WITH walk AS (SELECT target_id AS qid, target_id AS id, 0 AS depth FROM {_HUBS} UNION SELECT qid, e.target_id, depth + 1 FROM walk JOIN e ON e.source_id = walk.id WHERE depth < 3 AND confidence >= 0.3 AND e.target_id IN (SELECT id FROM n)) SELECT qid, id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY qid, id",
+    f"WITH walk AS (SELECT qid, id, 0 AS depth FROM {_STARTS} UNION SELECT qid, e.target_id, depth + 1 FROM walk JOIN e ON e.source_id = walk.id WHERE depth < 3 AND confidence >= 0.3 AND e.target_id IN (SELECT id FROM n)) SELECT qid, id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY qid, id",
     recursive=True,
 )
 def _(g):

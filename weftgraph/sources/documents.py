@@ -199,10 +199,10 @@ def safe_path(path: Column) -> Column:
 
 
 def render_blocks(nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """file_path and text: the blocks of a document's nodes, in order of id, as `parse_blocks` reads them; one row per document."""
+    """file_path and text: the blocks of a document's nodes, in order of id, as `parse_blocks` reads them; one row per document. A node without a name has none."""
     body = F.concat_ws("\n", F.concat(F.lit("# "), "name"), F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary")))
     block = F.concat(F.lit("<!-- kg:uuid="), "id", F.lit(" -->\n"), body, F.lit("\n<!-- /kg -->"))
-    views = sources.where("file_path <> ''").select(F.col("node_uuid").alias("id"), "file_path").distinct().join(nodes.select("id", block.alias("block")).where("block is not null"), "id")
+    views = sources.where("file_path <> ''").select(F.col("node_uuid").alias("id"), "file_path").distinct().join(nodes.where("name is not null").select("id", block.alias("block")), "id")
     return views.groupBy("file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "block"))), lambda x: x["block"]), "\n\n").alias("text"))
 
 
