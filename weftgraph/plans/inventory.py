@@ -305,7 +305,7 @@ def _(g):
     return documents.planned_moves(baseline, present)
 
 
-@query("p9_safe_sources", r"""SELECT node_uuid, member_id, file_path FROM s WHERE file_path <> '' AND NOT regexp_matches(file_path, '[\\:%\x00-\x1f]|^/|^\s|\s$|(^|/)\.{1,2}(/|$)|//')""")
+@query("f_safe_sources", r"""SELECT node_uuid, member_id, file_path FROM s WHERE file_path <> '' AND NOT regexp_matches(file_path, '[\\:%\x00-\x1f]|^/|^\s|\s$|(^|/)\.{1,2}(/|$)|//')""")
 def _(g):
     return g.sources.where(documents.safe_path(F.col("file_path"))).select("node_uuid", "member_id", "file_path")
 
@@ -645,12 +645,12 @@ def _(g):
     return rows.select("skill", F.explode(forms).alias("url")).select("skill", identity.repository_identity(F.col("url")).alias("identity")).distinct()
 
 
-@query("p10_valid_relations", f"SELECT id FROM e WHERE kind IN {SEMANTIC} AND confidence BETWEEN 0 AND 1 AND trim(source_id) <> '' AND trim(target_id) <> ''")
+@query("f_valid_relations", f"SELECT id FROM e WHERE kind IN {SEMANTIC} AND confidence BETWEEN 0 AND 1 AND trim(source_id) <> '' AND trim(target_id) <> ''")
 def _(g):
     return resolve.valid_relations(g.edges).select("id")
 
 
-@query("p12_incomplete", f"WITH {_MEMBERS} SELECT n.id, CASE WHEN m.members IS NULL THEN 'no member' WHEN len(list_filter(m.members, lambda z: contains(z, '-entity-'))) < len(m.members) THEN 'unknown member' WHEN NOT coalesce(confidence BETWEEN 0 AND 1, false) THEN 'confidence' ELSE 'no description' END AS rule FROM n LEFT JOIN m ON m.id = n.id WHERE label IN {CONTENT} AND (m.members IS NULL OR len(list_filter(m.members, lambda z: contains(z, '-entity-'))) < len(m.members) OR NOT coalesce(confidence BETWEEN 0 AND 1, false) OR coalesce(trim(description), '') = '')")
+@query("f_incomplete", f"WITH {_MEMBERS} SELECT n.id, CASE WHEN m.members IS NULL THEN 'no member' WHEN len(list_filter(m.members, lambda z: contains(z, '-entity-'))) < len(m.members) THEN 'unknown member' WHEN NOT coalesce(confidence BETWEEN 0 AND 1, false) THEN 'confidence' ELSE 'no description' END AS rule FROM n LEFT JOIN m ON m.id = n.id WHERE label IN {CONTENT} AND (m.members IS NULL OR len(list_filter(m.members, lambda z: contains(z, '-entity-'))) < len(m.members) OR NOT coalesce(confidence BETWEEN 0 AND 1, false) OR coalesce(trim(description), '') = '')")
 def _(g):
     own = graph.semantic_nodes(g.nodes).select("id", "confidence", "description").join(members(g), "id", "left")
     units = g.sources.where("contains(member_id, '-entity-')").select(F.col("member_id").alias("unit_id"))

@@ -322,7 +322,7 @@ def _(g):
     return resolve.fuse(_candidates(g)).select("scope", "label", "name", "alias", "confidence", F.size("aliases").cast("long").alias("n_aliases"))
 
 
-@query("p11_candidates", f"SELECT id, label, max(confidence) AS confidence FROM n WHERE label IN {CONTENT} AND id <> '' AND confidence BETWEEN 0 AND 1 GROUP BY id, label")
+@query("f_candidates", f"SELECT id, label, max(confidence) AS confidence FROM n WHERE label IN {CONTENT} AND id <> '' AND confidence BETWEEN 0 AND 1 GROUP BY id, label")
 def _(g):
     rows = graph.semantic_nodes(g.nodes).select("id", "label", "name", "summary", "description", F.array().cast("array<string>").alias("synonyms"), F.array().cast("array<string>").alias("skills"), "confidence")
     return resolve.select_candidates(rows).select("id", "label", "confidence")
