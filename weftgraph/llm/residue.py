@@ -38,7 +38,7 @@ LEAST = -0.02
 STEPS = ((1.5, -3.2), (0.5, -2.8))
 #: Weight of an unlabelled segment in the first fit: it may be a case without a known phrase.
 DOUBT = 0.3
-#: Where unseen hosts decide nothing, and how far they may move the threshold.
+#: Where unseen hosts decide nothing, and how far they may raise the threshold: never lower it, since below 0 a segment is more likely harmless and their labels are weak.
 THRESHOLD, REACH = 0.0, 1.5
 #: Weights against one unlabelled segment: of a weakly labelled positive, of one that speaks about such things, of a made-up example, of a harmless sentence that examples are put into.
 POSITIVE, SPEAKS, SEED, CALM = 8.0, 60.0, 5.0, 3.0
@@ -51,10 +51,10 @@ _TAG = re.compile(r"</?(?:a|b|i|u|p|em|br|hr|h[1-6]|li|ul|ol|td|th|tr|div|span|s
 # Phrases of response statuses (published with the protocol), and standard phrases of each family by language.
 REASONS = sorted(s.phrase.lower() for s in HTTPStatus if s >= 400)
 PHRASES = {
-    ("script", "en"): r"(?:not |cannot |can.t )?(?:run|support|execute|block)s? (?:java)?scripts?|scripts? (?:and cookies )?must be allowed|(?:enable|activate|turn on|allow|requires?|without|needs?) (?:java)?scripts?|javascript (?:is|must be|has been|seems to be|to be) \w+",
+    ("script", "en"): r"(?:enable|activate|turn on|allow|requires?|without|needs?) (?:java)?scripts?|javascript (?:is|must be|has been|seems to be|to be) \w+",
     ("script", "de"): r"javascript (?:ist|muss|bitte|im browser|zu aktivieren|aktivieren)|aktivieren sie (?:bitte )?(?:java)?scripts?|skripte",
-    ("script", "fr"): r"(?:activer|activez|autoriser) (?:le )?(?:java)?scripts?|javascript (?:est|doit)|bloque les scripts",
-    ("script", "es"): r"(?:activ\w+|habilit\w+|permit\w+) (?:el )?(?:java)?scripts?|javascript (?:está|debe)|scripts desactivados",
+    ("script", "fr"): r"(?:activer|activez|autoriser) (?:le )?(?:java)?scripts?|javascript (?:est|doit)",
+    ("script", "es"): r"(?:activ\w+|habilit\w+|permit\w+) (?:el )?(?:java)?scripts?|javascript (?:está|debe)",
     ("script", "zh"): r"(?:启用|开启|打开|允许|禁用)了?\s*(?:javascript|脚本)|(?:javascript|脚本)\s*(?:已|被|功能)",
     ("missing", "en"): r"(?:page|url|site|file|resource|address) (?:was |is |could |can)?(?:not|cannot|no longer|n.t) (?:be )?(?:found|exists?|available)|(?:couldn.t|can.t|cannot|unable to) find (?:the|that|this) (?:page|site)|page not found",
     ("missing", "de"): r"seite (?:wurde |konnte )?nicht gefunden|seite existiert nicht",
@@ -108,11 +108,11 @@ NAMES = 10
 _PLACE = re.compile(r"[㐀-䶿一-鿿]{2}|[^\W㐀-䶿一-鿿]+(?:[._]\w+)*")
 # Made-up examples of each family and language.
 SEEDS = {
-    ("script", "en"): "Please enable JavaScript in your browser.|JavaScript is required to use this site.|This site requires JavaScript to work.|You need to enable JavaScript to run this app.|JavaScript has been disabled in your settings.|Scripts must be allowed for this page.|Turn on scripts to continue.|This page works best with JavaScript turned on.|Your browser does not support scripts.|Your browser does not run JavaScript, so this site cannot be displayed.|Nothing can be shown without scripts.|Cookies and scripts are blocked, please allow them.|We're sorry, but this app doesn't work properly without JavaScript enabled.",
+    ("script", "en"): "Please enable JavaScript in your browser.|JavaScript is required to use this site.|This site requires JavaScript to work.|You need to enable JavaScript to run this app.|JavaScript has been disabled in your settings.|Scripts must be allowed for this page.|Your browser does not support scripts.|Cookies and scripts are blocked, please allow them.|We're sorry, but this app doesn't work properly without JavaScript enabled.",
     ("script", "de"): "Bitte aktivieren Sie JavaScript in Ihrem Browser.|JavaScript ist deaktiviert.|Diese Seite benötigt JavaScript.|Ihr Browser blockiert Skripte.|Für diese Anwendung müssen Skripte erlaubt sein.",
-    ("script", "fr"): "Veuillez activer JavaScript dans votre navigateur.|JavaScript est désactivé.|Ce site nécessite JavaScript.|Votre navigateur bloque les scripts.|Cette application a besoin de scripts.",
-    ("script", "es"): "Habilite JavaScript en su navegador.|JavaScript está desactivado.|Este sitio necesita JavaScript.|Su navegador bloquea los scripts.|Active los scripts para continuar.",
-    ("script", "zh"): "请在浏览器中启用 JavaScript。|JavaScript 已被禁用。|本页面需要 JavaScript 支持。|您的浏览器不支持脚本。|请允许脚本运行后继续。|脚本已被浏览器禁用，无法显示内容。",
+    ("script", "fr"): "Veuillez activer JavaScript dans votre navigateur.|JavaScript est désactivé.|Ce site nécessite JavaScript.|Cette application a besoin de scripts.",
+    ("script", "es"): "Habilite JavaScript en su navegador.|JavaScript está desactivado.|Este sitio necesita JavaScript.|Active los scripts para continuar.",
+    ("script", "zh"): "请在浏览器中启用 JavaScript。|JavaScript 已被禁用。|本页面需要 JavaScript 支持。|您的浏览器不支持脚本。|请允许脚本运行后继续。",
     ("missing", "en"): "404 Not Found|Page not found|Error 404: page not found|The page you requested could not be found.|The requested URL was not found.|This page is not available.|Sorry, this page doesn't exist.|We can't find that page.|We couldn't find what you were looking for.|The file has been removed or never existed.|Oops! Nothing here.|410 Gone",
     ("missing", "de"): "Seite nicht gefunden|Fehler 404|Fehler 404: Die Seite wurde nicht gefunden.|Die angeforderte Seite existiert nicht.|404 Nicht gefunden",
     ("missing", "fr"): "Page introuvable|Erreur 404|Erreur 404 : page non trouvée|La page demandée n'existe pas.|404 Introuvable",
@@ -123,7 +123,7 @@ SEEDS = {
     ("denied", "fr"): "Accès refusé|Accès interdit|Vous n'avez pas la permission de voir cette page.|403 Interdit",
     ("denied", "es"): "Acceso denegado|No tiene permiso para ver esta página.|Acceso prohibido|403 Prohibido",
     ("denied", "zh"): "访问被拒绝|拒绝访问|您没有权限访问此页面。|403 禁止访问|权限不足，无法查看。",
-    ("down", "en"): "503 Service Unavailable|502 Bad Gateway|500 Internal Server Error|504 Gateway Timeout|Error 500|429 Too Many Requests|Too many requests, please slow down.|Too many requests (429)|Retry after 30 seconds.|Service temporarily unavailable.|Please try again later.|Retry after a few seconds.|Something went wrong.|An unexpected error occurred while loading the page.|The server closed the connection.|Could not connect to the server: timeout|Connection refused by upstream|Could not connect to the database.|We are down for maintenance.|Reload this page.|Request id: 4f1c|Reference id: 17|Trace id: 9|Error code: 17",
+    ("down", "en"): "503 Service Unavailable|502 Bad Gateway|500 Internal Server Error|504 Gateway Timeout|Error 500|429 Too Many Requests|Too many requests, please slow down.|Service temporarily unavailable.|Please try again later.|Something went wrong.|An unexpected error occurred while loading the page.|Could not connect to the server: timeout|Could not connect to the database.|We are down for maintenance.|Reload this page.|Reference id: 17|Trace id: 9|Error code: 17",
     ("down", "de"): "Interner Serverfehler|Der Server ist derzeit nicht erreichbar.|Der Dienst ist vorübergehend nicht verfügbar.|Bitte versuchen Sie es später erneut.|Fehler 500|Fehler 503: Dienst nicht verfügbar|Es ist ein Fehler aufgetreten.|Zu viele Anfragen",
     ("down", "fr"): "Erreur interne du serveur|Le service est indisponible.|Service temporairement indisponible|Veuillez réessayer plus tard.|Erreur 500|Erreur 503 : service indisponible|Une erreur est survenue.|Trop de requêtes",
     ("down", "es"): "Error interno del servidor|El servicio no está disponible.|Servicio no disponible|Servicio temporalmente no disponible|Inténtelo de nuevo más tarde.|Error 500|Error 503: servicio no disponible|Se ha producido un error.|Demasiadas solicitudes",
@@ -133,17 +133,17 @@ SEEDS = {
     ("session", "fr"): "Votre session a expiré.|Veuillez vous connecter.|Veuillez vous identifier de nouveau.",
     ("session", "es"): "Su sesión ha expirado.|Inicie sesión para continuar.|Vuelva a iniciar sesión.",
     ("session", "zh"): "会话已过期，请重新登录。|请登录后继续。|登录已过期。",
-    ("filler", "en"): "Lorem ipsum dolor sit amet, consectetur adipiscing elit.|Sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.|Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris.|Duis aute irure dolor in reprehenderit in voluptate velit esse cillum.|Excepteur sint occaecat cupidatat non proident, sunt in culpa.|This is placeholder text.|Sample text|Dummy text, to be replaced.|Placeholder copy goes here.|Placeholder text, to be replaced later.|Placeholder, please replace.|Your text goes here.|Text will go in here.|Replace this text later.|Insert your content here.|This is a sample paragraph.|asdf asdf asdf|qwerty qwerty|blah blah blah|foo bar foo bar|test test test",
+    ("filler", "en"): "Lorem ipsum dolor sit amet, consectetur adipiscing elit.|Sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.|Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris.|Duis aute irure dolor in reprehenderit in voluptate velit esse cillum.|Excepteur sint occaecat cupidatat non proident, sunt in culpa.|This is placeholder text.|Sample text|Dummy text, to be replaced.|Placeholder copy goes here.|Placeholder, please replace.|Your text goes here.|Text will go in here.|Replace this text later.|Insert your content here.|This is a sample paragraph.|qwerty qwerty|blah blah blah|foo bar foo bar|test test test",
     ("filler", "de"): "Dies ist ein Blindtext.|Platzhaltertext|Hier steht ein Beispieltext.|Hier kommt später Text hin.|Mustertext|Beispieltext Beispieltext",
-    ("filler", "fr"): "Ceci est un faux texte.|Texte d'exemple à remplacer.|Texte de remplissage|Le texte viendra ici.|Remplacer ce texte",
+    ("filler", "fr"): "Ceci est un faux texte.|Texte d'exemple à remplacer.|Texte de remplissage|Le texte viendra ici.",
     ("filler", "es"): "Este es un texto de relleno.|Texto de relleno|Texto provisional|Texto de ejemplo|Texto de prueba|Aquí va el texto.|Reemplace este texto",
     ("filler", "zh"): "这是占位文字。|示例文本|测试内容测试内容|此处为示例文字，请替换。|文字内容待替换。",
 }
 # Made-up sentences that speak about such things.
 HARMLESS = (
-    "The page says that access was denied when the token is missing.|A 404 from the upstream is retried three times before the run fails.|Load tests use lorem ipsum paragraphs as neutral input.|Benchmarks take lorem ipsum of a fixed length as input.|The editor fills new pages with lorem ipsum until someone writes them.|Without JavaScript the viewer shows a plain list.|The viewer depends on JavaScript, else it shows a fixed list."
-    "|Ohne JavaScript zeigt die Ansicht nur eine Liste.|Sans JavaScript, la vue montre une liste fixe.|Sin JavaScript, la vista muestra una lista fija.|查看器依赖 JavaScript，否则只显示列表。|A service that is unavailable counts as failed after a minute.|The template engine replaces every placeholder at build time."
-    "|Users who are not found in the table get a new row.|The session expires after ten minutes.|Sessions that expired are removed each night.|Retry after the lease has ended.|The error page of the gateway names the failed host.|Items on the TODO list are closed each week.|Guarda todo lo que el sistema considera nuevo.|See [the guide](docs/guide.md) for more.|Compare rows [4, 8] with row (3, 5).|As [12] says, the list [a, b] is closed.|The set {1, 2} lies in {0, 1, 2, 3}.|Values <= 4 and >= 2 count.|- [ ] check the list|- [x] done|Use <https://example.org> as base.|Values between 10% and 20% are fine."
+    "The page says that access was denied when the token is missing.|Benchmarks take lorem ipsum of a fixed length as input.|The editor fills new pages with lorem ipsum until someone writes them."
+    "|A service that is unavailable counts as failed after a minute.|The template engine replaces every placeholder at build time."
+    "|Users who are not found in the table get a new row.|The session expires after ten minutes.|Sessions that expired are removed each night.|Retry after the lease has ended.|The error page of the gateway names the failed host.|See [the guide](docs/guide.md) for more.|Compare rows [4, 8] with row (3, 5).|As [12] says, the list [a, b] is closed.|The set {1, 2} lies in {0, 1, 2, 3}.|Values <= 4 and >= 2 count.|- [ ] check the list|- [x] done|Use <https://example.org> as base.|Values between 10% and 20% are fine."
 ).split("|")
 
 
@@ -452,10 +452,10 @@ def train(rows: list[tuple[str, str]], left_out: str | None = None) -> Model:
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the thresholds near 0 with the best balance of precision and recall on unseen hosts."""
+    """The least threshold from 0 on with the best balance of precision and recall on unseen hosts."""
     if not y.any() or y.all():
         return THRESHOLD
-    tries = np.linspace(-REACH, REACH, 61)
+    tries = np.linspace(THRESHOLD, REACH, 31)
     pos, neg = np.sort(z[y]), np.sort(z[~y])
     hit = len(pos) - np.searchsorted(pos, tries, side="right")
     wrong = len(neg) - np.searchsorted(neg, tries, side="right")
