@@ -56,6 +56,25 @@ def test_bfs_equals_a_queue(spark):
             assert [r.edge_id for r in reported.where(f"qid = '{q}'").orderBy("ord").collect()] == expected[q][1]
 
 
+def test_bfs_without_broadcasts(spark):
+    """Large tables are joined by shuffles alone; a union of shuffled parts must not be taken for one that is parted by its key."""
+    rng = random.Random(3)
+    nodes = {f"n{i}": "x" for i in range(40)}
+    edges = [(k, rng.choice([*nodes]), rng.choice([*nodes]), rng.choice(KINDS), rng.random()) for k in range(120)]
+    starts = [(f"q{i}", f"n{i}", 1) for i in range(5)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, reported = graph.bfs(spark.createDataFrame([(k, "Entity", d, "s") for k, d in nodes.items()], N), spark.createDataFrame(edges, E), spark.createDataFrame(starts, "qid string, id string, pos int"), 3, 0.3, 10_000)
+        got, told = rows(found), reported.orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for q, e, _ in starts:
+        depths, ids = model_bfs(nodes, edges, [e], 3, 0.3, 10_000, None)
+        assert {i: d for own, i, d in got if own == q} == depths
+        assert [r.edge_id for r in told if r.qid == q] == ids
+
+
 def _small(spark):
     nodes = spark.createDataFrame([(c, "Entity", "d", "s1" if c in "abc" else "s2") for c in "abcdefg"] + [("k", "Skill", "k", None)], N)
     pairs = ["ab", "bc", "ca", "de", "ef", "fd", "cd", "ba", "ab", "aa", "kz"]
