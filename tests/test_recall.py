@@ -58,7 +58,7 @@ def _shuffled(spark):
     return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
 
 
-@pytest.mark.parametrize("name", ["f15_chunks"])
+@pytest.mark.parametrize("name", ["f15_chunks", "f12_batch_recall"])
 def test_a_common_word_does_not_multiply_queries_by_rows(spark, tmp_path, name):
     """Every query and every row hold one word: neither the rows of both are joined, nor is a posting written for each."""
     n, q = 1_500, 150
